@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlake.llm import ogg, pieces, token_counts
+from skeinlake.llm import mixing, ogg, pieces, token_counts
 from skeinlake.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.features(ogg.store_texts(read_table(spark, sf_dir, "documents")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(spark, sf_dir)
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read_table(spark, sf_dir, "documents"))
 
@@ -24,8 +28,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ogg": op2_ogg,
+    "op3_mixing": op3_mixing,
     "op4_pieces": op4_pieces,
     "op8_token_counts": op8_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.oracle(),
+}
