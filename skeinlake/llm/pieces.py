@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain, repeat
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +26,11 @@ from pyspark.sql import functions as F
 from skeinlake.llm.common import slices, table_path
 
 SPACE = "▁"
-#: Distinct chunks remembered by a worker; the table restarts beyond it.
-MEMO = 150_000
+NO_PAIR = float("inf")
+#: Distinct chunks in the newer of a worker's two tables; when it is full it becomes the older one, whose chunks come back on use.
+MEMO = 200_000
+#: Symbols of a chunk up to which the agenda is kept as a plain array, above as a heap.
+SHORT = 48
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
@@ -35,23 +40,41 @@ class PieceCodec:
         import sentencepiece
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.vocab: dict[str, tuple[float, int]] = {}
+        self.vocab: dict[str, float] = {}  # piece -> minus its score
+        self.ids: dict[str, int] = {}
         self.bytes = [lib.unk_id()] * 256
         for i in range(lib.get_piece_size()):
             piece = lib.id_to_piece(i)
             if lib.is_byte(i):
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (lib.is_unknown(i) or lib.is_control(i) or lib.is_unused(i)):
-                self.vocab[piece] = (-lib.get_score(i), i)
+                self.vocab[piece], self.ids[piece] = -lib.get_score(i), i
         if any(SPACE in piece.lstrip(SPACE) for piece in self.vocab):
             raise ValueError(f"{path}: a piece has a space mark behind another character")
-        if lib.encode("a ") != [*lib.encode("a"), self.vocab[SPACE][1]] or lib.decode(lib.encode("  a  b")) != "  a  b":
+        if lib.encode("a ") != [*lib.encode("a"), self.ids[SPACE]] or lib.decode(lib.encode("  a  b")) != "  a  b":
             raise ValueError(f"{path}: the model's normalizer changes white space")
         self.memo: dict[str, tuple[list[int], str]] = {}
-        self.fresh: list[str] = []
-
-    def agenda(self, chunk: str) -> list[int]:
-        """Ids of one chunk: pop the best-scored adjacent pair, merge, push the pairs it now forms."""
+        self.older: dict[str, tuple[list[int], str]] = {}
+
+    def merged(self, chunk: str) -> list[str]:
+        """Pieces of a chunk: take the best-scored adjacent pair (ties: leftmost), merge, score the pairs it now forms."""
+        if len(chunk) > SHORT:
+            return self.merged_long(chunk)
+        score, symbols, none = self.vocab.get, list(chunk), NO_PAIR
+        agenda = list(map(score, map(add, chunk, chunk[1:]), repeat(none)))
+        agenda.append(none)
+        while (best := min(agenda)) != none:
+            i = agenda.index(best)
+            del agenda[i]
+            symbols[i] = joined = symbols[i] + symbols.pop(i + 1)
+            if i + 1 < len(symbols):
+                agenda[i] = score(joined + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + joined, none)
+        return symbols
+
+    def merged_long(self, chunk: str) -> list[str]:
+        """The same with the agenda as a heap, for chunks of any length."""
         vocab, symbols = self.vocab, list(chunk)
         n = len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -59,7 +82,7 @@ class PieceCodec:
         for i in range(n - 1):
             joined = symbols[i] + symbols[i + 1]
             if joined in vocab:
-                pairs.append((vocab[joined][0], i, i + 1, joined))
+                pairs.append((vocab[joined], i, i + 1, joined))
         heapq.heapify(pairs)
         while pairs:
             _, a, b, joined = heapq.heappop(pairs)
@@ -71,20 +94,28 @@ class PieceCodec:
                 left[c] = a
                 more = joined + symbols[c]
                 if more in vocab:
-                    heapq.heappush(pairs, (vocab[more][0], a, c, more))
+                    heapq.heappush(pairs, (vocab[more], a, c, more))
             c = left[a]
             if c >= 0:
                 more = symbols[c] + joined
                 if more in vocab:
-                    heapq.heappush(pairs, (vocab[more][0], c, a, more))
-        ids: list[int] = []
+                    heapq.heappush(pairs, (vocab[more], c, a, more))
+        return [x for x in symbols if x]
+
+    def agenda(self, chunk: str) -> list[int]:
+        """Ids of one chunk; a symbol outside the vocabulary becomes its byte pieces."""
+        ids = self.ids
+        symbols = self.merged(chunk)
+        try:
+            return [ids[x] for x in symbols]
+        except KeyError:
+            out: list[int] = []
         for symbol in symbols:
-            if symbol:
-                if symbol in vocab:
-                    ids.append(vocab[symbol][1])
-                else:
-                    ids += [self.bytes[x] for x in symbol.encode()]
-        return ids
+            if symbol in ids:
+                out.append(ids[symbol])
+            else:
+                out += [self.bytes[x] for x in symbol.encode()]
+        return out
 
     def chunks(self, text: str) -> list[str]:
         """Space-led chunks of the marked text, each without the first of its marks."""
@@ -106,15 +137,18 @@ class PieceCodec:
 
     def look_up(self, texts: list[str]) -> list[list[tuple[list[int], str]]]:
         cut = [self.chunks(text) for text in texts]
-        memo = self.memo
-        new = {c for chunks in cut for c in chunks if c not in memo}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = {c for chunks in cut for c in chunks}
-        for c in new:
-            ids = self.agenda(SPACE + c.replace(" ", SPACE))
-            memo[c] = (ids, ",".join(map(str, ids)))
-        self.compare(list(new))
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = []
+        for c in set().union(*cut).difference(memo):
+            if c in older:
+                memo[c] = older[c]
+            else:
+                ids = self.agenda(SPACE + c.replace(" ", SPACE))
+                memo[c] = (ids, ",".join(map(str, ids)))
+                new.append(c)
+        self.compare(new)
         return [[memo[c] for c in chunks] for chunks in cut]
 
     def compare(self, new: list[str]) -> None:
@@ -184,7 +218,7 @@ def digests(df: DataFrame, model: str | None = None, id_col: str = "doc_id", tex
         for part in slices(batches, most=1 << 20):
             texts = [x or "" for x in part.column(1).to_pylist()]
             found = own.look_up(texts)
-            ids = [[i for x, _ in doc for i in x] for doc in found]
+            ids = [list(chain.from_iterable([x for x, _ in doc])) for doc in found]
             decoded = own.decode(ids)
             yield pa.RecordBatch.from_arrays(
                 [
