@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlake.llm import mixing, ogg, pieces, token_counts
+from skeinlake.llm import licenses, mixing, ogg, pieces, spotsigs, token_counts
 from skeinlake.llm.common import read_table
 
 
@@ -26,11 +26,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.query(spark, sf_dir)
+
+
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.query(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ogg": op2_ogg,
     "op3_mixing": op3_mixing,
     "op4_pieces": op4_pieces,
     "op8_token_counts": op8_token_counts,
+    "op9_licenses": op9_licenses,
+    "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -8,7 +8,7 @@ import pytest
 from skeinlake.llm import ogg, pieces, token_counts
 from skeinlake.llm.common import read_table, table_path
 
-EDGE = [(1_000_001, None), (1_000_002, ""), (1_000_003, " "), (1_000_004, "a  b "), (1_000_005, "  lead\n\n tail  "), (1_000_006, "▁mark ▁▁x"), (1_000_007, "<|endoftext|>a<|endoftext|><|endoftext|>"), (1_000_008, "é日本𝄞‍\x01"), (1_000_009, "don't <s> <unk> <0x0A>"), (1_000_009, "don't <s> <unk> <0x0A>"), (None, "tie"), (1_000_010, "x" * 70_000), (1_000_011, "w ord " * 20_000), (12, " nb　 sp ")]
+EDGE = [(1_000_001, None), (1_000_002, ""), (1_000_003, " "), (1_000_004, "a  b "), (1_000_005, "  lead\n\n tail  "), (1_000_006, "▁mark ▁▁x"), (1_000_007, "<|endoftext|>a<|endoftext|><|endoftext|>"), (1_000_008, "é日本𝄞‍\x01"), (1_000_009, "don't <s> <unk> <0x0A>"), (1_000_009, "don't <s> <unk> <0x0A>"), (None, "tie"), (1_000_010, "x" * 70_000), (1_000_011, "w ord " * 20_000), (1_000_012, " nb　 sp ")]
 
 
 @pytest.fixture(scope="session")
