@@ -13,12 +13,13 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import chain, repeat
-from operator import add
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +27,15 @@ from pyspark.sql import functions as F
 from skeinlake.llm.common import slices, table_path
 
 SPACE = "▁"
-NO_PAIR = float("inf")
+NO_PLACE = 2**31 - 1
 #: Distinct chunks in the newer of a worker's two tables; when it is full it becomes the older one, whose chunks come back on use.
 MEMO = 200_000
-#: Symbols of a chunk up to which the agenda is kept as a plain array, above as a heap.
-SHORT = 48
+#: Symbols of a chunk up to which its agenda is a row of an array, above a heap; rows of an array.
+SHORT, ROWS = 48, 8192
+#: Slots of a pair table and its hash multipliers.
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
+HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
@@ -53,28 +58,109 @@ class PieceCodec:
             raise ValueError(f"{path}: a piece has a space mark behind another character")
         if lib.encode("a ") != [*lib.encode("a"), self.ids[SPACE]] or lib.decode(lib.encode("  a  b")) != "  a  b":
             raise ValueError(f"{path}: the model's normalizer changes white space")
-        self.memo: dict[str, tuple[list[int], str]] = {}
-        self.older: dict[str, tuple[list[int], str]] = {}
-
-    def merged(self, chunk: str) -> list[str]:
-        """Pieces of a chunk: take the best-scored adjacent pair (ties: leftmost), merge, score the pairs it now forms."""
-        if len(chunk) > SHORT:
-            return self.merged_long(chunk)
-        score, symbols, none = self.vocab.get, list(chunk), NO_PAIR
-        agenda = list(map(score, map(add, chunk, chunk[1:]), repeat(none)))
-        agenda.append(none)
-        while (best := min(agenda)) != none:
-            i = agenda.index(best)
-            del agenda[i]
-            symbols[i] = joined = symbols[i] + symbols.pop(i + 1)
-            if i + 1 < len(symbols):
-                agenda[i] = score(joined + symbols[i + 1], none)
-            if i:
-                agenda[i - 1] = score(symbols[i - 1] + joined, none)
-        return symbols
+        self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.text = [str(i) for i in range(lib.get_piece_size())]
+        self._pair_table()
+
+    def _pair_table(self) -> None:
+        """Adjacent pairs whose joined symbol is a piece: a hash table by (left id, right id) with the pair's place in score order and joined id."""
+        ids = self.ids
+        order = {score: place for place, score in enumerate(sorted(set(self.vocab.values())))}
+        left, right, place, joined = [], [], [], []
+        for piece, score in self.vocab.items():
+            for cut in range(1, len(piece)):
+                a, b = ids.get(piece[:cut]), ids.get(piece[cut:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    place.append(order[score])
+                    joined.append(ids[piece])
+        keys = np.array(left, np.int64) << 20 | np.array(right, np.int64)
+        self.slots: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rest, place_, joined_ = keys, np.array(place, np.int32), np.array(joined, np.int32)
+        for turn in range(len(HASHES)):  # what finds its slot taken goes to the next table
+            table = np.full(SLOTS, -1, np.int64)
+            at = self._slot(rest, turn)
+            first = np.unique(at, return_index=True)[1]
+            table[at[first]] = rest[first]
+            places, joins = np.full(SLOTS, NO_PLACE, np.int32), np.zeros(SLOTS, np.int32)
+            places[at[first]], joins[at[first]] = place_[first], joined_[first]
+            self.slots.append((table, places, joins))
+            more = np.ones(len(rest), bool)
+            more[first] = False
+            rest, place_, joined_ = rest[more], place_[more], joined_[more]
+            if not len(rest):
+                break
+        if len(rest):
+            raise ValueError("the pair table is too small for this vocabulary")
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.char_ids[ord(piece)] = i
+
+    @staticmethod
+    def _slot(keys: np.ndarray, turn: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(HASHES[turn])) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in score order (NO_PLACE: not a piece) and joined id of pairs of symbols."""
+        keys = left.astype(np.int64) << 20 | right.astype(np.int64)
+        keys[(left < 0) | (right < 0)] = -2
+        place, joined = np.full(keys.shape, NO_PLACE, np.int32), np.zeros(keys.shape, np.int32)
+        for turn, (table, places, joins) in enumerate(self.slots):
+            at = self._slot(keys, turn)
+            hit = table[at] == keys
+            place[hit], joined[hit] = places[at[hit]], joins[at[hit]]
+        return place, joined
+
+    def merged_many(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of many chunks of up to SHORT symbols: one agenda row a chunk, all best pairs (ties: leftmost) merged at once."""
+        sizes = np.array([len(c) for c in chunks])
+        width = int(sizes.max())
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = np.full((len(chunks), width + 1), -1, np.int32)
+        filled = np.arange(width + 1) < sizes[:, None]
+        symbols[filled] = np.where((known := self.char_ids[codes]) >= 0, known, -2 - codes.astype(np.int32))
+        agenda, joins = np.full((len(chunks), width), NO_PLACE, np.int32), np.zeros((len(chunks), width), np.int32)
+        both = filled[:, 1:]
+        agenda[both], joins[both] = self.pairs(symbols[:, :-1][both], symbols[:, 1:][both])
+        live = np.arange(len(chunks))
+        columns = np.arange(width)
+        out = np.full((len(chunks), width), -1, np.int32)
+        while len(live):
+            best = agenda.argmin(axis=1)
+            rows = np.arange(len(live))
+            done = agenda[rows, best] == NO_PLACE
+            if done.any():
+                out[live[done]] = symbols[done, :width]
+                left = ~done
+                live, best, symbols, agenda, joins = live[left], best[left], symbols[left], agenda[left], joins[left]
+                rows = np.arange(len(live))
+                if not len(live):
+                    break
+            behind = columns > best[:, None]
+            symbols[rows, best] = joins[rows, best]
+            symbols[:, :-1] = np.where(behind, symbols[:, 1:], symbols[:, :-1])[:, :] if width else symbols[:, :-1]
+            symbols[:, -1] = -1
+            behind = columns[:-1] >= best[:, None]
+            agenda[:, :-1] = np.where(behind, agenda[:, 1:], agenda[:, :-1])
+            joins[:, :-1] = np.where(behind, joins[:, 1:], joins[:, :-1])
+            agenda[:, -1] = NO_PLACE
+            agenda[rows, best], joins[rows, best] = self.pairs(symbols[rows, best], symbols[rows, best + 1])
+            inner = best > 0
+            at, b = rows[inner], best[inner] - 1
+            agenda[at, b], joins[at, b] = self.pairs(symbols[at, b], symbols[at, b + 1])
+        kept = out != -1
+        ends = np.cumsum(kept.sum(axis=1)).tolist()
+        flat = out[kept].tolist()
+        found = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.nonzero((out < -1).any(axis=1))[0].tolist():  # symbols outside the vocabulary
+            found[i] = [y for x in found[i] for y in ([x] if x >= 0 else [self.bytes[z] for z in chr(-2 - x).encode()])]
+        return found
 
     def merged_long(self, chunk: str) -> list[str]:
-        """The same with the agenda as a heap, for chunks of any length."""
+        """Pieces of a chunk of any length: pop the best-scored adjacent pair from a heap, merge, push the pairs it now forms."""
         vocab, symbols = self.vocab, list(chunk)
         n = len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -102,19 +188,22 @@ class PieceCodec:
                     heapq.heappush(pairs, (vocab[more], c, a, more))
         return [x for x in symbols if x]
 
-    def agenda(self, chunk: str) -> list[int]:
-        """Ids of one chunk; a symbol outside the vocabulary becomes its byte pieces."""
-        ids = self.ids
-        symbols = self.merged(chunk)
-        try:
-            return [ids[x] for x in symbols]
-        except KeyError:
-            out: list[int] = []
-        for symbol in symbols:
-            if symbol in ids:
-                out.append(ids[symbol])
-            else:
-                out += [self.bytes[x] for x in symbol.encode()]
+    def agenda(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of marked chunks; those of about the same length share an array."""
+        out: list[list[int]] = [[]] * len(chunks)
+        short = sorted((len(c), i) for i, c in enumerate(chunks) if len(c) <= SHORT)
+        at = 0
+        while at < len(short):
+            end = at
+            while end < len(short) and end - at < ROWS and short[end][0] <= short[at][0] + 3:
+                end += 1
+            some = [i for _, i in short[at:end]]
+            for i, ids in zip(some, self.merged_many([chunks[i] for i in some])):
+                out[i] = ids
+            at = end
+        for i, c in enumerate(chunks):
+            if len(c) > SHORT:
+                out[i] = [y for x in self.merged_long(c) for y in ([self.ids[x]] if x in self.ids else [self.bytes[z] for z in x.encode()])]
         return out
 
     def chunks(self, text: str) -> list[str]:
@@ -135,7 +224,7 @@ class PieceCodec:
             out.append(marks[:-1])
         return out
 
-    def look_up(self, texts: list[str]) -> list[list[tuple[list[int], str]]]:
+    def look_up(self, texts: list[str]) -> list[list[int]]:
         cut = [self.chunks(text) for text in texts]
         if len(self.memo) > MEMO:
             self.memo, self.older = {}, self.memo
@@ -145,11 +234,10 @@ class PieceCodec:
             if c in older:
                 memo[c] = older[c]
             else:
-                ids = self.agenda(SPACE + c.replace(" ", SPACE))
-                memo[c] = (ids, ",".join(map(str, ids)))
                 new.append(c)
+        memo.update(zip(new, self.agenda([SPACE + c.replace(" ", SPACE) for c in new])))
         self.compare(new)
-        return [[memo[c] for c in chunks] for chunks in cut]
+        return [list(chain.from_iterable([memo[c] for c in chunks])) for chunks in cut]
 
     def compare(self, new: list[str]) -> None:
         """The library on the same chunks: joined by spaces, those of nothing but spaces one by one (a lone mark has no text of its own)."""
@@ -157,14 +245,14 @@ class PieceCodec:
         groups = [plain[at : at + 500] for at in range(0, len(plain), 500)] + [[c] for c in new if c and not c.strip(" ")]
         found = self.library.encode([" ".join(g) for g in groups], num_threads=1)
         for group, ids in zip(groups, found):
-            if ids != [i for c in group for i in self.memo[c][0]]:
+            if ids != list(chain.from_iterable([self.memo[c] for c in group])):
                 for c in group:
-                    if self.library.encode(c) != self.memo[c][0]:
+                    if self.library.encode(c) != self.memo[c]:
                         raise ValueError(f"the agenda and the library differ on {c!r}")
                 raise ValueError(f"the agenda and the library differ on a group of {len(group)} chunks")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for ids, _ in found for i in ids] for found in self.look_up(texts)]
+        return self.look_up(texts)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
@@ -177,6 +265,9 @@ def codec(path: str) -> PieceCodec:
     """One per worker process; workers are used again for later tasks."""
     if path not in _CODECS:
         _CODECS[path] = PieceCodec(path)
+        gc.collect()
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 1000)  # the table of chunks holds many small lists and no cycles
     return _CODECS[path]
 
 
@@ -217,14 +308,14 @@ def digests(df: DataFrame, model: str | None = None, id_col: str = "doc_id", tex
         own = codec(path)
         for part in slices(batches, most=1 << 20):
             texts = [x or "" for x in part.column(1).to_pylist()]
-            found = own.look_up(texts)
-            ids = [list(chain.from_iterable([x for x, _ in doc])) for doc in found]
+            ids = own.encode(texts)
+            text = own.text.__getitem__
             decoded = own.decode(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([sha(",".join([s for _, s in doc]).encode()).hexdigest() for doc in found]),
+                    pa.array([sha(",".join(map(text, x)).encode()).hexdigest() for x in ids]),
                     pa.array([sha(x.encode()).hexdigest() for x in decoded]),
                     pa.array([a == b for a, b in zip(texts, decoded)], pa.bool_()),
                 ],
