@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlake.llm import licenses, mixing, ogg, pieces, spotsigs, token_counts
+from skeinlake.llm import licenses, mixing, ogg, pieces, simhash, spotsigs, token_counts
 from skeinlake.llm.common import read_table
 
 
@@ -22,6 +22,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(spark, sf_dir)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ogg": op2_ogg,
     "op3_mixing": op3_mixing,
     "op4_pieces": op4_pieces,
+    "op5_simhash": op5_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_licenses": op9_licenses,
     "op10_spotsigs": op10_spotsigs,
