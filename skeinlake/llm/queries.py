@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlake.llm import licenses, mixing, ogg, pieces, simhash, spotsigs, token_counts
+from skeinlake.llm import licenses, mixing, ogg, pieces, simhash, spotsigs, suffixes, token_counts
 from skeinlake.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(spark, sf_dir)
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.query(spark, sf_dir)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_pieces": op4_pieces,
     "op5_simhash": op5_simhash,
+    "op6_suffixes": op6_suffixes,
     "op8_token_counts": op8_token_counts,
     "op9_licenses": op9_licenses,
     "op10_spotsigs": op10_spotsigs,
