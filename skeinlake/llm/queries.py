@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlake.llm import licenses, mixing, ogg, pieces, simhash, spotsigs, suffixes, token_counts
+from skeinlake.llm import licenses, lm, mixing, ogg, pieces, simhash, spotsigs, suffixes, token_counts
 from skeinlake.llm.common import read_table
 
 
@@ -30,6 +30,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.query(spark, sf_dir)
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.query(spark, sf_dir)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pieces": op4_pieces,
     "op5_simhash": op5_simhash,
     "op6_suffixes": op6_suffixes,
+    "op7_lm": op7_lm,
     "op8_token_counts": op8_token_counts,
     "op9_licenses": op9_licenses,
     "op10_spotsigs": op10_spotsigs,
