@@ -67,8 +67,8 @@ class Powers:
     @classmethod
     def get(cls) -> tuple[np.ndarray, np.ndarray]:
         if cls.up is None:
-            cls.up = np.cumprod(np.r_[np.uint64(1), np.full(2 * BUFFER, MULTIPLIER, np.uint64)])
-            cls.down = np.cumprod(np.r_[np.uint64(1), np.full(2 * BUFFER, pow(MULTIPLIER, -1, 1 << 64), np.uint64)])
+            cls.up = np.cumprod(np.r_[np.uint64(1), np.full(BUFFER, MULTIPLIER, np.uint64)])
+            cls.down = np.cumprod(np.r_[np.uint64(1), np.full(BUFFER, pow(MULTIPLIER, -1, 1 << 64), np.uint64)])
         return cls.up, cls.down
 
 
@@ -76,14 +76,18 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
 
 
 class Hashes:
-    """Hashes of any stretch of a token buffer from one running sum."""
+    """Hashes of any stretch of a token buffer from one running sum.
 
-    def __init__(self, values: np.ndarray):
+    ``local`` numbers the tokens of each of several texts laid end to end, for buffers of any length.
+    """
+
+    def __init__(self, values: np.ndarray, local: np.ndarray | None = None):
         self.up, down = Powers.get()
-        self.sums = np.r_[np.uint64(0), np.cumsum(values * down[: len(values)])]
+        self.local = local
+        self.sums = np.r_[np.uint64(0), np.cumsum(values * (down[: len(values)] if local is None else down[local]))]
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * self.up[start]
+        return (self.sums[stop] - self.sums[start]) * self.up[start if self.local is None else self.local[start]]
 
 
 class Tokens:
@@ -225,7 +229,7 @@ def sort_members(minimiser: np.ndarray, doc: np.ndarray, pos: np.ndarray, stored
     n = last - first + 1
     sizes = np.array([len(x) for x in stored])
     at = np.cumsum(sizes) - sizes
-    hashes = Hashes(tokens.values(np.concatenate(stored)))
+    hashes = Hashes(tokens.values(np.concatenate(stored)), np.arange(sizes.sum()) - np.repeat(at, sizes))
     member = np.repeat(np.arange(len(n)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     group = mix(minimiser[member].view(np.uint64)) + (place - first)[member].astype(np.uint64) - offset.astype(np.uint64)

@@ -50,6 +50,23 @@ def test_documents(spark, sf_dir, docs_of):
     assert got(df) == want and sum(x[2] for x in want) > 10_000
 
 
+def test_members_beyond_a_buffer():
+    """One minimiser with more tokens under its runs than a buffer holds: a shared window in all, another in two."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    width, n = 400, 2100
+    core = rng.integers(0, 256, width, dtype=np.uint8)
+    stored = [np.r_[rng.integers(0, 256, 200, dtype=np.uint8), core, rng.integers(0, 256, 150, dtype=np.uint8)] for _ in range(n)]
+    stored[7] = stored[3].copy()
+    stored[7][-1] ^= 1
+    pos = np.full(n, 350 << 24 | 0 << 12 | 350, np.int64)
+    doc = np.arange(n)
+    spans = suffixes.sort_members(np.zeros(n, np.int64), doc, pos, stored, suffixes.Tokens("bytes"), width)
+    got_ = dict(zip(spans[0].tolist(), zip(spans[1].tolist(), spans[2].tolist())))
+    assert len(got_) == n and got_[0] == (200, 600) and got_[3] == (0, 749) == got_[7]
+
+
 def test_pieces_cover_every_window():
     for n in (0, 5, 30, 31, 99, 100, 257):
         starts = [s for buffer in suffixes.pieces([n], 6, most=31) for _, a, b in buffer for s in range(a, b - 5)]
