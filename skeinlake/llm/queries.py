@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlake.llm import licenses, lm, mixing, ogg, pieces, simhash, spotsigs, suffixes, token_counts
+from skeinlake.llm import cotrain, licenses, lm, mixing, ogg, pieces, simhash, spotsigs, suffixes, token_counts
 from skeinlake.llm.common import read_table
 
 
+def op1_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.query(spark, sf_dir)
+
+
 def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.features(ogg.store_texts(read_table(spark, sf_dir, "documents")))
 
@@ -47,6 +51,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotrain": op1_cotrain,
     "op2_ogg": op2_ogg,
     "op3_mixing": op3_mixing,
     "op4_pieces": op4_pieces,
