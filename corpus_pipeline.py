@@ -1,15 +1,56 @@
-"""The corpus pipeline: stages over documents, each written and read again by its runner."""
+"""The corpus pipeline over ``documents``: quality, near-duplicates, repeated passages, mixture, pieces.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
+as the next stage's documents; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from skeinlake.llm import cotrain, mixing, pieces, simhash, suffixes
+from skeinlake.llm.common import keep, read_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: the documents that the co-trained classifier keeps."""
+    return cotrain.kept(docs, cotrain.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: one document of each group with five-word shingles at least 0.8 alike."""
+    return simhash.dedup(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: texts without the passages of 50 words and more that stand elsewhere too."""
+    return suffixes.remove(docs, "words", 50)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents as often as the mix takes them, up to twice."""
+    return mixing.mixture(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: piece counts and digests of each document of the mix."""
+    return pieces.digests(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixture", mixture),
+    ("encoded", encoded),
+]
+
+#: SQL cannot state the classifier, the fingerprints or the pieces.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        df = stage(spark, df, sf_dir)
-    return df
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -75,7 +75,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, mo
 def mix(df: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: id, source, size, its source's size and target, and the number of copies that the mix takes."""
     sized = keep(
-        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), F.md5(F.col(text_col).cast("string").cast("binary")).alias("tie")),
+        df.select(row_key(df, id_col, text_col, source_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), F.md5(F.col(text_col).cast("string").cast("binary")).alias("tie")),
         "mix-sizes",
     )
     per = keep(targets(sized, weights, total, most), "mix-targets")
@@ -97,14 +97,26 @@ def mix(df: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: flo
     start = fraction(F.concat(F.col("source_key"), F.lit(SEED)))
     at = F.col("before") + F.col("rank")
     copies = (F.floor(each * at + start) - F.floor(each * (at - 1) + start)).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "row")
 
 
-def take(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of the mix, each as often as it was taken; ids must be unique."""
-    copies = mixed.filter("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__mix_copies"))
-    joined = df.join(copies, F.col(id_col) == F.col("__mix_id"))
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).drop("__mix_id", "__mix_copies", "__mix_copy")
+def row_key(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(df[id_col], df[source_col], df[text_col])
+
+
+def take(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents of the mix, all columns, each as often as it was taken; of rows with the same key each has its own count."""
+    counts = mixed.groupBy("row").agg(F.sort_array(F.collect_list("copies")).alias("__mix_copies")).withColumnRenamed("row", "__mix_row")
+    rows = df.withColumn("__mix_row", row_key(df, id_col, text_col, source_col))
+    joined = rows.join(counts.filter(F.exists("__mix_copies", lambda n: n > 0)), "__mix_row")
+    nth = F.row_number().over(Window.partitionBy("__mix_row").orderBy(F.lit(0)))
+    own = joined.withColumn("__mix_n", F.element_at("__mix_copies", nth).cast("int")).filter("__mix_n > 0")
+    return own.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*df.columns)
+
+
+def mixture(df: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``mix`` applied: the rows of ``df`` as often as the mix takes them."""
+    return take(df, keep(mix(df, weights, total, most, id_col, text_col, source_col), "mix-taken"), id_col, text_col, source_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

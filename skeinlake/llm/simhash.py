@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.llm.common import keep, raw, read_table, shuffle_partitions, slices
 from skeinlake.llm.components import components
+from skeinlake.llm.suffixes import mix, row_key
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: (query, node) pairs on the frontier of a search at once.
@@ -77,27 +78,34 @@ def masks(radius: int, spare: int = 2) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in whole]
 
 
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits, of one word a fingerprint or several."""
+    d = np.bitwise_count(a ^ b)
+    return (d if d.ndim == 1 else d.sum(axis=1)).astype(np.int64)
+
+
 class Forest:
-    """BK-trees of many shards in arrays; ``shard`` is sorted, fingerprints within a shard are distinct."""
+    """BK-trees of many shards in arrays; ``shard`` is sorted.  Equal fingerprints hang below each other at distance 0."""
 
     def __init__(self, shard: np.ndarray, fp: np.ndarray):
         n = len(fp)
-        self.fp = fp
+        self.fp, self.bits = fp, BITS * (1 if fp.ndim == 1 else fp.shape[1])
+        step = self.bits + 1
         first = np.r_[True, shard[1:] != shard[:-1]] if n else np.zeros(0, bool)
         self.root = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, np.int64)
         parent, distance = np.full(n, -1), np.zeros(n, np.int64)
         active = np.nonzero(~first)[0]
         at = self.root[active]
         while len(active):  # a level of all trees at a time: the first with a distance becomes the child, the others go below it
-            d = np.bitwise_count(fp[active] ^ fp[at]).astype(np.int64)
-            key = at * (BITS + 1) + d
+            d = hamming(fp[active], fp[at])
+            key = at * step + d
             order = np.argsort(key, kind="stable")
             new = np.r_[True, key[order][1:] != key[order][:-1]]
             child = active[order][new][np.cumsum(new) - 1]
             parent[active[order][new]], distance[active[order][new]] = at[order][new], d[order][new]
             active, at = active[order][~new], child[~new]
         nodes = np.nonzero(parent >= 0)[0]
-        key = parent[nodes] * (BITS + 1) + distance[nodes]
+        key = parent[nodes] * step + distance[nodes]
         order = np.argsort(key, kind="stable")
         self.edge, self.child = key[order], nodes[order]
 
@@ -111,12 +119,12 @@ class Forest:
                     half = len(q) // 2
                     stack += [(q[:half], node[:half]), (q[half:], node[half:])]
                     continue
-                d = np.bitwise_count(self.fp[q] ^ self.fp[node]).astype(np.int64)
+                d, step = hamming(self.fp[q], self.fp[node]), self.bits + 1
                 near = (d <= radius) & (node < q)
                 if near.any():
                     yield q[near], node[near]
-                low = np.searchsorted(self.edge, node * (BITS + 1) + np.maximum(d - radius, 0))
-                high = np.searchsorted(self.edge, node * (BITS + 1) + np.minimum(d + radius, BITS), side="right")
+                low = np.searchsorted(self.edge, node * step + np.maximum(d - radius, 0))
+                high = np.searchsorted(self.edge, node * step + np.minimum(d + radius, self.bits), side="right")
                 n = high - low
                 if n.sum():
                     ahead = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
@@ -200,3 +208,177 @@ def hexadecimal(fp: Column) -> Column:
 def query(spark, sf_dir: str) -> DataFrame:
     prints = keep(fingerprints(read_table(spark, sf_dir, "documents")), "simhash-prints")
     return groups(prints).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicate removal on longer fingerprints.  64 bits tell texts apart that share eight or nine tenths of
+# their shingles only within a wide radius, which no set of shard keys can cover; with 512 bits the share of
+# equal bits measures the likeness to a few hundredths, and bands of them make the shard keys.
+PARTS = 8
+LONG = PARTS * BITS
+NEAR_SHINGLE, SIMILARITY, SLACK = 5, 0.8, 0.08
+BAND = 18
+BANDS = LONG // BAND
+PART_SEEDS = mix(np.arange(1, PARTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+LANES = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
+
+SIGNATURES = "row long, doc_id long, words binary, long_fp binary"
+
+
+def long_fingerprint(h: np.ndarray) -> np.ndarray:
+    """Majority bits of the hashes under eight seeds."""
+    if not len(h):
+        return np.zeros(PARTS, np.uint64)
+    every = np.c_[h, mix(h[:, None] ^ PART_SEEDS)].astype("<u8").view(np.uint8)
+    counts = np.zeros(LONG, np.int64)
+    for at in range(0, len(h), 255):  # eight counters of a byte each share a word
+        counts += LANES[every[at : at + 255]].sum(axis=0).view(np.uint8)
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8")
+
+
+def radius_of(similarity: float) -> int:
+    """Bits that differ between two sets of this Jaccard likeness, on average: their angle over a half turn."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(np.ceil(LONG * np.arccos(cosine) / np.pi))
+
+
+def signatures(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: a row key, id, digest of the lower-cased words and the long fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for part in slices(batches, column=2):
+            texts = raw(part.column(2))
+            prints = [long_fingerprint(hashes(shingles(t, shingle))).tobytes() for t in texts]
+            words = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.binary()), pa.array(prints, pa.binary())], names=["row", "doc_id", "words", "long_fp"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return df.select(row_key(F.col(id_col), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, SIGNATURES)
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Positions of the links of a least spanning forest: each round every group takes its nearest link to another."""
+    order = np.argsort(d, kind="stable")
+    label, taken = np.arange(n), []
+    while True:
+        x, y = label[a[order]], label[b[order]]
+        apart = x != y
+        if not apart.any():
+            return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+        order, x, y = order[apart], x[apart], y[apart]
+        rank = np.arange(len(order))
+        best = np.full(n, len(order))
+        np.minimum.at(best, x, rank)
+        np.minimum.at(best, y, rank)
+        best = np.unique(best[best < len(order)])
+        taken.append(order[best])
+        label = least_labels(n, np.r_[a[order[best]], np.arange(n)], np.r_[b[order[best]], label])
+
+
+def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a least spanning forest of each shard's texts within the radius, as positions."""
+    none = np.zeros(0, np.int64)
+    size = np.bincount(np.cumsum(np.r_[True, shard[1:] != shard[:-1]]) - 1)
+    several = np.nonzero(np.repeat(size > 1, size))[0]
+    if not len(several):
+        return none, none
+    shard, fp = shard[several], fp[several]
+    forest = Forest(shard, fp)
+    a, b, d, held = [none], [none], [none], 0
+
+    def fold():
+        nonlocal a, b, d
+        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
+        best = spanning(len(fp), a, b, d)
+        a, b, d = [a[best]], [b[best]], [d[best]]
+
+    for q, node in forest.search(np.arange(len(fp)), radius):
+        a.append(q)
+        b.append(node)
+        d.append(hamming(fp[q], fp[node]))
+        held += len(q)
+        if held > FRONTIER:
+            fold()
+            held = 0
+    fold()
+    return several[a[0]], several[b[0]]
+
+
+def near_links(classes: DataFrame, radius: int) -> DataFrame:
+    """Candidate links (a, b) between rows of (row, long_fp): texts that share a band and lie within the radius in its BK-tree."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, LONG // 8)
+            bits = np.unpackbits(prints, axis=1, bitorder="little")[:, : BAND * BANDS].reshape(-1, BANDS, BAND)
+            keys = (bits * (1 << np.arange(BAND))).sum(axis=2) + (np.arange(BANDS) << BAND)
+            for at in range(BANDS):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, at]), batch.column(0), batch.column(1)], names=["shard", "row", "long_fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PARTS), np.uint64)
+
+        def out(upto):
+            a, b = shard_links(shard[:upto], fp[:upto], radius)
+            return pa.RecordBatch.from_arrays([pa.array(rows[a]), pa.array(rows[b])], names=["a", "b"])
+
+        for batch in batches:
+            shard = np.r_[shard, batch.column(0).to_numpy()]
+            rows = np.r_[rows, batch.column(1).to_numpy()]
+            fp = np.r_[fp, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, PARTS)]
+            whole = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
+            if whole > 50_000:
+                yield out(whole)
+                shard, rows, fp = shard[whole:], rows[whole:], fp[whole:]
+        if len(shard):
+            yield out(len(shard))
+
+    dealt = classes.select("row", "long_fp").mapInArrow(deal, "shard long, row long, long_fp binary")
+    return dealt.repartition(shuffle_partitions(classes.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
+
+
+def likeness(links: DataFrame, df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, jaccard) of linked rows, from their whole shingle sets; only rows with a link send theirs."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = df.select(row_key(F.col(id_col), text).alias("row"), text.alias("text"))
+    linked = links.select(F.col("a").alias("row")).unionByName(links.select(F.col("b").alias("row"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            packed_ = [np.unique(hashes(shingles(t, shingle))).tobytes() for t in raw(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed_, pa.binary())], names=["row", "held"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            out = []
+            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
+
+    held = keep(rows.join(linked, "row").dropDuplicates(["row"]).mapInArrow(sets, "row long, held binary"), "simhash-sets")
+    both = links.join(held.select(F.col("row").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("row").alias("b"), F.col("held").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, jaccard double")
+
+
+def dedup(df: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with one row of each group of near-duplicates, the one with the smallest id.
+
+    Texts with the same lower-cased words are one class.  Classes that share a band of the long fingerprint
+    and lie within the radius of ``similarity - SLACK`` in its BK-tree are candidates; a least spanning
+    forest of them is compared exactly, and links of at least ``similarity`` form the groups.  Blank and null
+    texts are one class.  Of repeated rows one stays.
+    """
+    prints = keep(signatures(df, shingle, id_col, text_col), "simhash-signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = keep(prints.groupBy("words").agg(F.min(order).alias("least"), F.min("long_fp").alias("long_fp")).select(F.col("least.row").alias("row"), F.col("least.doc_id").alias("doc_id"), "long_fp"), "simhash-texts")
+    candidates = keep(near_links(classes, radius_of(similarity - SLACK)), "simhash-candidates")
+    links_ = likeness(candidates, df, shingle, id_col, text_col).filter(F.col("jaccard") >= similarity).select("a", "b")
+    labels = components(links_, "simhash-near")
+    of_class = classes.join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", F.coalesce("label", "row").alias("label"))
+    stays = keep(of_class.groupBy("label").agg(F.min(order).alias("least")).select(F.col("least.row").alias("__simhash_row")), "simhash-stays")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = df.withColumn("__simhash_row", row_key(F.col(id_col), text))
+    return rows.join(stays, "__simhash_row", "left_semi").dropDuplicates(["__simhash_row"]).select(*df.columns)
