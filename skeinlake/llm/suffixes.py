@@ -39,6 +39,8 @@ from skeinlake.llm.common import keep, raw, read_table, shuffle_partitions, slic
 WIDTH, WORDS_WIDTH = 400, 50
 #: Different stretches of one minimiser that are sorted in one task.
 CROWD = 2048
+#: Shares that the rows of one crowded window are dealt into.
+SALTS = 16
 #: Members sorted together in a task.
 MEMBERS = 4096
 PLACE_BITS = 20
@@ -327,9 +329,10 @@ def spans(docs: DataFrame, unit: str = "bytes", width: int = WIDTH, gram: int |
     per = keep(classes.groupBy("minimiser").agg(F.count("*").alias("stretches")).filter("stretches > 1"), "suffix-mixed")
     wanted = classes.join(per, "minimiser").select("minimiser", F.col("one.doc").alias("doc"), F.col("one.pos").alias("pos"), (F.col("stretches") > crowd).alias("crowded"))
     drawn = keep(draw(docs, wanted, unit, width), "suffix-drawn")
-    single = drawn.filter("tokens is null").select("half_a", "half_b", "doc", "start")
-    again = keep(single.groupBy("half_a", "half_b").agg(F.count("*").alias("n")).filter("n > 1").select("half_a", "half_b"), "suffix-crowded")
-    crowded = single.join(again, ["half_a", "half_b"]).select("doc", F.col("start").alias("first"), (F.col("start") + width).alias("last"))
+    single = drawn.filter("tokens is null").select("half_a", "half_b", "doc", "start", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"))
+    again = single.groupBy("half_a", "half_b").agg(F.count("*").alias("n")).filter("n > 1")
+    again = keep(again.select("half_a", "half_b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt")), "suffix-crowded")
+    crowded = single.join(again, ["half_a", "half_b", "salt"]).select("doc", F.col("start").alias("first"), (F.col("start") + width).alias("last"))
     found = whole.unionByName(compare(drawn, unit, width)).unionByName(crowded)
     return found.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
