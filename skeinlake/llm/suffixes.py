@@ -331,7 +331,7 @@ def spans(docs: DataFrame, unit: str = "bytes", width: int = WIDTH, gram: int |
     drawn = keep(draw(docs, wanted, unit, width), "suffix-drawn")
     single = drawn.filter("tokens is null").select("half_a", "half_b", "doc", "start", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"))
     again = single.groupBy("half_a", "half_b").agg(F.count("*").alias("n")).filter("n > 1")
-    again = keep(again.select("half_a", "half_b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt")), "suffix-crowded")
+    again = keep(again.select("half_a", "half_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), "suffix-crowded")
     crowded = single.join(again, ["half_a", "half_b", "salt"]).select("doc", F.col("start").alias("first"), (F.col("start") + width).alias("last"))
     found = whole.unionByName(compare(drawn, unit, width)).unionByName(crowded)
     return found.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
