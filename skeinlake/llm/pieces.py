@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +61,10 @@ class PieceCodec:
             raise ValueError(f"{path}: the model's normalizer changes white space")
         self.memo: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
-        self.text = [str(i) for i in range(lib.get_piece_size())]
+        written = [f"{i},".encode() for i in range(lib.get_piece_size())]
+        self.digits = np.frombuffer(b"".join(written), np.uint8)
+        self.digits_n = np.array([len(x) for x in written])
+        self.digits_at = np.cumsum(self.digits_n) - self.digits_n
         self._pair_table()
 
     def _pair_table(self) -> None:
@@ -206,38 +210,68 @@ class PieceCodec:
                 out[i] = [y for x in self.merged_long(c) for y in ([self.ids[x]] if x in self.ids else [self.bytes[z] for z in x.encode()])]
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        """Space-led chunks of the marked text, each without the first of its marks."""
-        if not text:
-            return []
-        words = text.replace(SPACE, " ").split(" ")
-        if "" not in words:
-            return words
-        out, marks = [], ""
-        for word in words:
-            if word:
-                out.append(marks + word)
-                marks = ""
-            else:
-                marks += " "
-        if marks:
-            out.append(marks[:-1])
-        return out
+    def chunks(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct chunks of texts, the chunk of each place, and places per text.
 
-    def look_up(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.chunks(text) for text in texts]
+        A text, led by a space mark, is cut before each mark that follows another character.  A chunk is kept
+        without the first of its marks, so that words cut at single spaces are chunks as they are.
+        """
+        marked = pa.array([t.replace(SPACE, " ") for t in texts], pa.string())
+        lists = pc.split_pattern(marked, " ")
+        for i, t in enumerate(texts):
+            if not t or "  " in t or t[0] == " " or t[-1] == " " or SPACE in t:
+                break
+        else:
+            coded = lists.flatten().dictionary_encode()
+            return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
+        out, sizes = [], []
+        for t in marked.to_pylist():
+            before = len(out)
+            words, marks = t.split(" ") if t else [], ""
+            for word in words:
+                if word:
+                    out.append(marks + word)
+                    marks = ""
+                else:
+                    marks += " "
+            if marks:
+                out.append(marks[:-1])
+            sizes.append(len(out) - before)
+        coded = pa.array(out, pa.string()).dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.array(sizes, np.int64)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and ids per text."""
+        distinct, places, sizes = self.chunks(texts)
         if len(self.memo) > MEMO:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
         new = []
-        for c in set().union(*cut).difference(memo):
-            if c in older:
-                memo[c] = older[c]
-            else:
-                new.append(c)
+        for c in distinct:
+            if c not in memo:
+                if c in older:
+                    memo[c] = older[c]
+                else:
+                    new.append(c)
         memo.update(zip(new, self.agenda([SPACE + c.replace(" ", SPACE) for c in new])))
         self.compare(new)
-        return [list(chain.from_iterable([memo[c] for c in chunks])) for chunks in cut]
+        lists = [memo[c] for c in distinct]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))
+        starts = np.cumsum(lengths) - lengths
+        per_place = lengths[places]
+        ends = np.cumsum(per_place)
+        ids = flat[np.repeat(starts[places] - (ends - per_place), per_place) + np.arange(int(per_place.sum()))]
+        reach = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
+        return ids, np.diff(reach)
+
+    def joined(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Decimal ids of each text joined by commas."""
+        lengths = self.digits_n[ids]
+        ends = np.cumsum(lengths)
+        data = self.digits[np.repeat(self.digits_at[ids] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))].tobytes()
+        cuts = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]].tolist()
+        return [data[a : max(a, b - 1)] for a, b in zip(cuts, cuts[1:])]
 
     def compare(self, new: list[str]) -> None:
         """The library on the same chunks: joined by spaces, those of nothing but spaces one by one (a lone mark has no text of its own)."""
@@ -252,7 +286,10 @@ class PieceCodec:
                 raise ValueError(f"the agenda and the library differ on a group of {len(group)} chunks")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.look_up(texts)
+        ids, sizes = self.encode_flat(texts)
+        ends = np.cumsum(sizes).tolist()
+        flat = ids.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
@@ -306,16 +343,16 @@ def digests(df: DataFrame, model: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
         own = codec(path)
-        for part in slices(batches, most=1 << 20):
+        for part in slices(batches, most=4 << 20):
             texts = [x or "" for x in part.column(1).to_pylist()]
-            ids = own.encode(texts)
-            text = own.text.__getitem__
-            decoded = own.decode(ids)
+            ids, sizes = own.encode_flat(texts)
+            ends = np.cumsum(sizes).tolist()
+            decoded = own.decode([ids[a:b].tolist() for a, b in zip([0, *ends], ends)])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([sha(",".join(map(text, x)).encode()).hexdigest() for x in ids]),
+                    pa.array(sizes, pa.int64()),
+                    pa.array([sha(x).hexdigest() for x in own.joined(ids, sizes)]),
                     pa.array([sha(x.encode()).hexdigest() for x in decoded]),
                     pa.array([a == b for a, b in zip(texts, decoded)], pa.bool_()),
                 ],
