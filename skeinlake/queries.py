@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,7 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _sql(text: str) -> Query:
-    return lambda spark, sf_dir: Engine.open(spark, sf_dir, TABLES).sql(text)
+    named = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    return lambda spark, sf_dir: Engine.open(spark, sf_dir, named).sql(text)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
