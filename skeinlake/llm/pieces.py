@@ -29,8 +29,8 @@ from skeinlake.llm.common import slices, table_path
 
 SPACE = "▁"
 NO_PLACE = 2**31 - 1
-#: Distinct chunks in the newer of a worker's two tables; when it is full it becomes the older one, whose chunks come back on use.
-MEMO = 200_000
+#: Distinct chunks that a worker remembers; beyond it only those of the slice at hand stay.
+MEMO = 250_000
 #: Symbols of a chunk up to which its agenda is a row of an array, above a heap; rows of an array.
 SHORT, ROWS = 48, 8192
 #: Slots of a pair table and its hash multipliers.
@@ -59,8 +59,8 @@ class PieceCodec:
             raise ValueError(f"{path}: a piece has a space mark behind another character")
         if lib.encode("a ") != [*lib.encode("a"), self.ids[SPACE]] or lib.decode(lib.encode("  a  b")) != "  a  b":
             raise ValueError(f"{path}: the model's normalizer changes white space")
-        self.memo: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.memo: dict[str, int] = {}  # chunk -> its place in the two columns below
+        self.memo_ends, self.memo_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
         written = [f"{i},".encode() for i in range(lib.get_piece_size())]
         self.digits = np.frombuffer(b"".join(written), np.uint8)
         self.digits_n = np.array([len(x) for x in written])
@@ -243,28 +243,36 @@ class PieceCodec:
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and ids per text."""
         distinct, places, sizes = self.chunks(texts)
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        memo, older = self.memo, self.older
-        new = []
-        for c in distinct:
-            if c not in memo:
-                if c in older:
-                    memo[c] = older[c]
-                else:
-                    new.append(c)
-        memo.update(zip(new, self.agenda([SPACE + c.replace(" ", SPACE) for c in new])))
-        self.compare(new)
-        lists = [memo[c] for c in distinct]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        per_place = lengths[places]
-        ends = np.cumsum(per_place)
-        ids = flat[np.repeat(starts[places] - (ends - per_place), per_place) + np.arange(int(per_place.sum()))]
-        reach = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
+        memo = self.memo
+        at = np.fromiter((memo.get(c, -1) for c in distinct), np.int64, len(distinct))
+        missing = np.nonzero(at < 0)[0]
+        if len(memo) + len(missing) > MEMO:
+            known = np.nonzero(at >= 0)[0]
+            ids, lengths = self.recall(at[known])
+            self.memo = memo = {distinct[i]: k for k, i in enumerate(known.tolist())}
+            self.memo_ends, self.memo_ids = np.r_[0, np.cumsum(lengths)], ids
+            at[known] = np.arange(len(known))
+        if len(missing):
+            new = [distinct[i] for i in missing.tolist()]
+            found = self.agenda([SPACE + c.replace(" ", SPACE) for c in new])
+            self.compare(new, found)
+            sizes_ = np.fromiter(map(len, found), np.int64, len(found))
+            at[missing] = np.arange(len(new)) + len(memo)
+            memo.update(zip(new, range(len(memo), len(memo) + len(new))))
+            self.memo_ids = np.r_[self.memo_ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes_.sum()))]
+            self.memo_ends = np.r_[self.memo_ends, self.memo_ends[-1] + np.cumsum(sizes_)]
+        ids, lengths = self.recall(at[places])
+        reach = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(sizes)]]
         return ids, np.diff(reach)
 
+    def recall(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of remembered chunks end to end, and ids per chunk."""
+        starts = self.memo_ends[at]
+        lengths = self.memo_ends[at + 1] - starts
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.memo_ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)], lengths
+
     def joined(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Decimal ids of each text joined by commas."""
         lengths = self.digits_n[ids]
@@ -273,15 +281,16 @@ class PieceCodec:
         cuts = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]].tolist()
         return [data[a : max(a, b - 1)] for a, b in zip(cuts, cuts[1:])]
 
-    def compare(self, new: list[str]) -> None:
+    def compare(self, new: list[str], ids_of: list[list[int]]) -> None:
         """The library on the same chunks: joined by spaces, those of nothing but spaces one by one (a lone mark has no text of its own)."""
+        own = dict(zip(new, ids_of))
         plain = [c for c in new if c.strip(" ")]
         groups = [plain[at : at + 500] for at in range(0, len(plain), 500)] + [[c] for c in new if c and not c.strip(" ")]
         found = self.library.encode([" ".join(g) for g in groups], num_threads=1)
         for group, ids in zip(groups, found):
-            if ids != list(chain.from_iterable([self.memo[c] for c in group])):
+            if ids != list(chain.from_iterable([own[c] for c in group])):
                 for c in group:
-                    if self.library.encode(c) != self.memo[c]:
+                    if self.library.encode(c) != own[c]:
                         raise ValueError(f"the agenda and the library differ on {c!r}")
                 raise ValueError(f"the agenda and the library differ on a group of {len(group)} chunks")
 
@@ -343,7 +352,7 @@ def digests(df: DataFrame, model: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
         own = codec(path)
-        for part in slices(batches, most=4 << 20):
+        for part in slices(batches, most=2 << 20):
             texts = [x or "" for x in part.column(1).to_pylist()]
             ids, sizes = own.encode_flat(texts)
             ends = np.cumsum(sizes).tolist()
