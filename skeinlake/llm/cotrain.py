@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from skeinlake.llm.common import raw, read_table, slices
 
-LABELLED, POOL, FEATURES = 12_000, 8_000, 4_096
+LABELLED, POOL, FEATURES = 10_000, 5_000, 4_096
+#: Sampled documents that must have a slot for it to be looked at.
+LEAST_SEEN = 3
 ROUNDS, CONFIDENT, MOST_EXCHANGED = 3, 0.97, 2_000
 TARGETS = ("quality", "toxic")
 METADATA = ("lang", "source", "n_chars")
@@ -92,8 +94,14 @@ class Rows:
 
     @classmethod
     def of(cls, lists: pa.Array, dense: np.ndarray) -> Rows:
-        sizes = np.diff(lists.offsets.to_numpy())
-        return cls(lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), dense)
+        """Without the slots of fewer than ``LEAST_SEEN`` rows, which are most of them."""
+        sizes, index = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        slots, seen = np.unique(index, return_counts=True)
+        slots = slots[seen >= LEAST_SEEN]
+        if not len(slots):
+            return cls(np.zeros(0, np.int32), np.zeros(0, np.int32), dense)
+        kept_ = slots[np.clip(np.searchsorted(slots, index), 0, len(slots) - 1)] == index
+        return cls(index[kept_], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[kept_], dense)
 
     def __len__(self):
         return len(self.dense)
@@ -133,7 +141,7 @@ def choose(x: Rows, y: np.ndarray, use: np.ndarray, most: int = FEATURES) -> np.
     rows, positive = max(1, use.sum()), y[use].sum()
     share = positive / rows
     z = np.abs(pos - n * share) / np.sqrt(n * max(share * (1 - share), 1e-9) + 1)
-    z[n < 3] = 0
+    z[n < LEAST_SEEN] = 0
     best = np.argsort(-z, kind="stable")[:most]
     return np.sort(slots[best[z[best] > 2.0]])
 
@@ -227,12 +235,12 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: i
     have = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(t).cast("double").alias(t) for t in TARGETS]).filter("doc_id is not null")
     n_labels, n_docs = have.count(), docs.count()
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("co-training")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # drawn from both tables before anything is joined: the drawn parts are small and bounded
+    # drawn from both tables before anything is joined: the drawn labels are few, as LABELLED bounds them
     drawn = have.filter(unit < labelled / max(1, n_labels)) if n_labels > labelled else have
     other = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pool")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *METADATA)
     near = rows.filter(unit < labelled / max(1, n_labels)) if n_labels > labelled else rows
-    first = near.join(drawn, "doc_id").select("doc_id", *TARGETS, "text", *METADATA)
+    first = near.join(F.broadcast(drawn), "doc_id").select("doc_id", *TARGETS, "text", *METADATA)
     extra = (rows.filter(other < pool / n_docs) if n_docs > pool else rows).join(have.select("doc_id").distinct(), "doc_id", "left_anti")
     second = extra.select("doc_id", *[F.lit(None).cast("double").alias(t) for t in TARGETS], "text", *METADATA)
     both = first.unionByName(second).select("doc_id", *TARGETS, F.col("text").cast("string").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
