@@ -7,6 +7,7 @@ as the next stage's documents; all but the last return the columns of ``document
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skeinlake.llm import cotrain, mixing, pieces, simhash, suffixes
 from skeinlake.llm.common import keep, read_table
@@ -24,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: texts without the passages of 50 words and more that stand elsewhere too."""
-    return suffixes.remove(docs, "words", 50)
+    return suffixes.remove(docs, "words", 50).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

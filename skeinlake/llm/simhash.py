@@ -215,9 +215,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 # equal bits measures the likeness to a few hundredths, and bands of them make the shard keys.
 PARTS = 8
 LONG = PARTS * BITS
-NEAR_SHINGLE, SIMILARITY, SLACK = 5, 0.8, 0.08
-BAND = 18
-BANDS = LONG // BAND
+SIEVE = 4  # words of the fingerprint that the trees compare
+NEAR_SHINGLE, SIMILARITY, SLACK = 5, 0.8, 0.12
+RECALL, LEAST_BAND = 0.97, 16
 PART_SEEDS = mix(np.arange(1, PARTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 LANES = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
 
@@ -235,10 +235,21 @@ def long_fingerprint(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(h), bitorder="little").view("<u8")
 
 
-def radius_of(similarity: float) -> int:
-    """Bits that differ between two sets of this Jaccard likeness, on average: their angle over a half turn."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.ceil(LONG * np.arccos(cosine) / np.pi))
+def share_of(similarity: float) -> float:
+    """Share of bits that differ between two sets of this Jaccard likeness, on average: their angle over a half turn."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def bands(n: int, similarity: float, recall: float = RECALL) -> np.ndarray:
+    """Bit numbers of each band, for n texts: wide enough that unrelated texts rarely share one, and so many that two texts of this likeness share one with probability ``recall``."""
+    width = max(LEAST_BAND, n.bit_length() - 2)
+    hit = (1 - share_of(similarity)) ** width
+    many = int(np.ceil(np.log(1 - recall) / np.log(1 - hit)))
+    rng, out = np.random.default_rng(0), []
+    while len(out) < many:
+        bits = rng.permutation(LONG)[: LONG // width * width]
+        out += list(bits.reshape(-1, width))
+    return np.array(out[:many])
 
 
 def signatures(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -305,19 +316,23 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
     return several[a[0]], several[b[0]]
 
 
-def near_links(classes: DataFrame, radius: int) -> DataFrame:
-    """Candidate links (a, b) between rows of (row, long_fp): texts that share a band and lie within the radius in its BK-tree."""
+def near_links(classes: DataFrame, similarity: float, slack: float = SLACK) -> DataFrame:
+    """Candidate links (a, b) between rows of (row, long_fp): texts that share a band and lie within the radius of ``similarity - slack`` in its BK-tree."""
+    chosen = bands(classes.count(), similarity)
+    radius = int(np.ceil(SIEVE * BITS * share_of(max(0.05, similarity - slack))))
+    width = chosen.shape[1]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, LONG // 8)
-            bits = np.unpackbits(prints, axis=1, bitorder="little")[:, : BAND * BANDS].reshape(-1, BANDS, BAND)
-            keys = (bits * (1 << np.arange(BAND))).sum(axis=2) + (np.arange(BANDS) << BAND)
-            for at in range(BANDS):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, at]), batch.column(0), batch.column(1)], names=["shard", "row", "long_fp"])
+            bits = np.unpackbits(prints, axis=1, bitorder="little")
+            sieve = pa.array([x.tobytes() for x in np.ascontiguousarray(prints[:, : SIEVE * 8])], pa.binary())
+            for at, band in enumerate(chosen):
+                keys = bits[:, band] @ (1 << np.arange(width)) + (at << width)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), sieve], names=["shard", "row", "long_fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PARTS), np.uint64)
+        shard, rows, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SIEVE), np.uint64)
 
         def out(upto):
             a, b = shard_links(shard[:upto], fp[:upto], radius)
@@ -326,7 +341,7 @@ def near_links(classes: DataFrame, radius: int) -> DataFrame:
         for batch in batches:
             shard = np.r_[shard, batch.column(0).to_numpy()]
             rows = np.r_[rows, batch.column(1).to_numpy()]
-            fp = np.r_[fp, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, PARTS)]
+            fp = np.r_[fp, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, SIEVE)]
             whole = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
             if whole > 50_000:
                 yield out(whole)
@@ -367,14 +382,14 @@ def dedup(df: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHI
     """The rows of ``df`` with one row of each group of near-duplicates, the one with the smallest id.
 
     Texts with the same lower-cased words are one class.  Classes that share a band of the long fingerprint
-    and lie within the radius of ``similarity - SLACK`` in its BK-tree are candidates; a least spanning
+    and lie within the radius of ``similarity - SLACK`` in the band's BK-tree are candidates; a least spanning
     forest of them is compared exactly, and links of at least ``similarity`` form the groups.  Blank and null
     texts are one class.  Of repeated rows one stays.
     """
     prints = keep(signatures(df, shingle, id_col, text_col), "simhash-signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = keep(prints.groupBy("words").agg(F.min(order).alias("least"), F.min("long_fp").alias("long_fp")).select(F.col("least.row").alias("row"), F.col("least.doc_id").alias("doc_id"), "long_fp"), "simhash-texts")
-    candidates = keep(near_links(classes, radius_of(similarity - SLACK)), "simhash-candidates")
+    candidates = keep(near_links(classes, similarity), "simhash-candidates")
     links_ = likeness(candidates, df, shingle, id_col, text_col).filter(F.col("jaccard") >= similarity).select("a", "b")
     labels = components(links_, "simhash-near")
     of_class = classes.join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", F.coalesce("label", "row").alias("label"))
