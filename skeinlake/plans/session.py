@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlake.functions import scalar
-from skeinlake.operators.approx import INTEGRAL, estimator
+from skeinlake.operators.approx import EXTREME_SIGMAS, INTEGRAL
 from skeinlake.operators.sampling import SamplePlan, sample
-from skeinlake.operators.stats import TableStats, collect_stats
+from skeinlake.operators.stats import TableStats, collect_stats, numeric_columns
 
 #: Plan nodes through which an aggregate still sees a bare scan.
 TRANSPARENT = {"Project", "SubqueryAlias", "View", "LogicalRelation", "RelationV2", "DataSourceV2Relation"}
@@ -112,7 +112,9 @@ class Engine:
             self.sizes[name] = self.tables[name].count()  # from Parquet footers
         stats = None
         if self.plan.mode == "outlier":
-            stats = self.whole.setdefault(name, collect_stats(self.tables[name])) if name not in self.whole else self.whole[name]
+            if name not in self.whole:
+                self.whole[name] = collect_stats(self.tables[name])
+            stats = self.whole[name]
         plan = SamplePlan(self.plan.mode, self.plan.rate, self.rounds[name], self.plan.seed, self.plan.sigma)
         df = sample(self.tables[name], plan, stats)
         df.createOrReplaceTempView(name)
@@ -134,21 +136,22 @@ class Engine:
         if what is None:
             return df
         read = self.spark.table(what.table)
-        columns = sorted({c for _, c in what.outputs.values() if c and c in read.columns})
-        numeric = [f.name for f in read.schema if f.name in columns and f.dataType.typeName() in ("double", "float", "long", "integer", "short", "byte", "bigint", "int")]
-        stats = collect_stats(read, numeric)
-        stats.n_hat = self.sizes[what.table]
+        numeric = set(numeric_columns(read))
+        spread = sorted({c for kind, c in what.outputs.values() if kind in ("min", "max") and c in numeric})
+        stats = collect_stats(read, spread)  # one pass: the sample's rows, and mean and deviation where an extreme is asked for
+        factor = F.lit(self.sizes[what.table] / stats.n if stats.n else 1.0)
         kinds = {f.name: f.dataType for f in df.schema}
         out = []
         for c in df.columns:
             kind, column = what.outputs.get(c, (None, None))
             value = F.col(f"`{c}`")
-            known = stats.columns.get(column or "")
-            if kind == "count" or (kind == "sum" and known):
-                value = (F.floor if isinstance(kinds[c], INTEGRAL) else lambda x: x)(value * F.lit(stats.n_hat / stats.n if stats.n else 1.0)).cast(kinds[c])
-            elif kind in ("min", "max") and known:
+            if kind == "count" or (kind == "sum" and column in numeric):
+                value = value * factor
+                value = (F.floor(value) if isinstance(kinds[c], INTEGRAL) else value).cast(kinds[c])
+            elif kind in ("min", "max") and column in stats.columns:
+                known = stats.columns[column]
                 sign, pick = (1, F.greatest) if kind == "max" else (-1, F.least)
-                value = pick(value.cast("double"), F.lit(known.mean + sign * 3 * known.std)).cast(kinds[c])
+                value = pick(value.cast("double"), F.lit(known.mean + sign * EXTREME_SIGMAS * known.std)).cast(kinds[c])
             out.append(value.alias(c))
         return df.select(*out)
 
@@ -176,5 +179,3 @@ class Engine:
         for name, df in self.tables.items():
             df.createOrReplaceTempView(name)
 
-
-__all__ = ["Eligibility", "Engine", "eligibility", "estimator", "named_tables"]
