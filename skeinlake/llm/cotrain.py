@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from skeinlake.llm.common import raw, read_table, slices
 
-LABELLED, POOL, FEATURES = 10_000, 5_000, 4_096
+LABELLED, POOL, FEATURES = 10_000, 5_000, 2_048
 #: Sampled documents that must have a slot for it to be looked at.
 LEAST_SEEN = 3
+#: Deviations by which a slot's share of a class must differ from the class's share to be chosen.
+TELLING = 3.5
 ROUNDS, CONFIDENT, MOST_EXCHANGED = 3, 0.97, 2_000
 TARGETS = ("quality", "toxic")
 METADATA = ("lang", "source", "n_chars")
@@ -143,10 +145,10 @@ def choose(x: Rows, y: np.ndarray, use: np.ndarray, most: int = FEATURES) -> np.
     z = np.abs(pos - n * share) / np.sqrt(n * max(share * (1 - share), 1e-9) + 1)
     z[n < LEAST_SEEN] = 0
     best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(slots[best[z[best] > 2.0]])
+    return np.sort(slots[best[z[best] > TELLING]])
 
 
-def logistic(x: Rows, y: np.ndarray, use: np.ndarray, slots: np.ndarray, penalty: float = 0.05, steps: int = 250) -> View:
+def logistic(x: Rows, y: np.ndarray, use: np.ndarray, slots: np.ndarray, penalty: float = 0.05, steps: int = 150) -> View:
     """Penalised logistic regression by full-batch adaptive steps."""
     at = np.clip(np.searchsorted(slots, x.index), 0, max(0, len(slots) - 1))
     hit = (slots[at] == x.index) & use[x.row] if len(slots) else np.zeros(len(x.index), bool)
