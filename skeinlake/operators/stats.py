@@ -6,7 +6,7 @@ import json
 import math
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,15 @@ class TableStats:
         return cls(read["n"], read["n_hat"], read["round"], {k: ColumnStats(**v) for k, v in read["columns"].items()})
 
 
+def save_stats(spark: SparkSession, stats: TableStats, path: str) -> None:
+    """One small text file beside the table, through Spark's file system."""
+    spark.createDataFrame([(stats.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_stats(spark: SparkSession, path: str) -> TableStats:
+    return TableStats.from_json(spark.read.text(path).first()[0])
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 

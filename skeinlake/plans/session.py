@@ -173,6 +173,10 @@ class Engine:
     def functions(self) -> list[str]:
         return scalar.signatures()
 
+    def cancel(self) -> None:
+        """Stop the running jobs, as on an interrupt."""
+        self.spark.sparkContext.cancelAllJobs()
+
     def reset(self) -> None:
         """Forget the rounds, as between trials."""
         self.rounds.clear()

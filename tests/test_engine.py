@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skeinlake.functions import scalar
 from skeinlake.operators import approx, sampling, stats
 from skeinlake.plans.session import Engine, eligibility, named_tables
-from skeinlake.sources import catalog
+from skeinlake.sources import catalog, output
 from skeinlake.streaming import progressive
 
 PEOPLE = [("sam", 25), ("kathy", 45), ("bill", 30), ("ang", 22), ("joe", 40), ("mark", 50), ("sarah", 60), ("riza", 43), ("bo", 99), ("pat", 38), ("sam", 99), ("riza", 22)]
@@ -196,6 +196,24 @@ def test_catalog_text(spark, tmp_path):
         catalog.read_delimited(spark, str(tmp_path / "bad.tbl"), schemas["people"], skip_last=True).collect()
 
 
+def test_output_and_sidecar(spark, tmp_path, engine):
+    df = spark.createDataFrame([("sam", 25), ("a,b", None)], "name string, age long")
+    assert output.render(df) == "name | age\nsam  | 25\na,b  | NULL\n"
+    assert output.render(df, aligned=False) == 'name,age\nsam,25\n"a,b",NULL\n'
+    output.write(df, str(tmp_path / "c"), "csv")
+    assert spark.read.option("sep", "|").option("header", True).csv(str(tmp_path / "c")).count() == 2
+    output.write(df, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    with pytest.raises(ValueError):
+        output.write(df, str(tmp_path / "x"), "other")
+    kept = stats.collect_stats(df)
+    stats.save_stats(spark, kept, str(tmp_path / "s"))
+    assert stats.load_stats(spark, str(tmp_path / "s")) == kept
+    engine.cancel()
+    engine.optimizer(False)
+    assert any(x.startswith("sq(") for x in engine.functions())
+
+
 def test_changes_and_transactions(spark, tmp_path):
     store = catalog.SnapshotStore(spark, str(tmp_path))
     store.create("t", "name string, age long")
