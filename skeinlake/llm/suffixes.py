@@ -30,6 +30,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -419,7 +420,7 @@ def remove(df: DataFrame, unit: str = "words", width: int | None = None, gram: i
             b = t.encode()
             cut = merge(list(spans_))
             out.append(kept_bytes(b, word_spans(b, cut) if unit == "words" else whole_characters(b, cut)).decode("utf-8", "replace"))
-        return __import__("pandas").Series(out, dtype=object)
+        return pd.Series(out, dtype=object)
 
     return joined.withColumn(text_col, cut_out(F.col(text_col), F.col("__suffix_spans"))).select(*df.columns)
 
