@@ -37,14 +37,14 @@ from skeinlake.llm.suffixes import mix
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 MAIN, WEIGHTS, OUT = 0, 1, 2  # uses of a document
 START, END = np.uint64(2), np.uint64(3)
-BATCH = 2_000_000  # tokens
-RANGE = 2_000_000  # distinct pairs that a range is to hold, about
+BATCH = 1_000_000  # tokens
+RANGE = 1_000_000  # distinct pairs that a range is to hold, about
 CONTEXT_BUCKETS = 24
 #: EM reads the deleted fold as a histogram: a context bucket by quarter octaves of both estimates, with their means.
 CELLS_2, CELLS_1 = 160, 200
 ROUNDS = 100
 WORDS, PAIRS = 0, 1
-MEMO = 400_000
+MEMO = 200_000
 
 PACKED = "batch long, part int, n_docs long, n_tokens long, docs binary, sizes binary, words binary, tokens binary"
 ASKED = "range long, kind int, batch long, part int, keys binary, counts binary"
