@@ -10,6 +10,10 @@ a range adds the counts of all batches and answers each in the order it asked; t
 batch again.  A word or pair goes to its range once a batch however often it occurs, so frequent ones do
 not weigh on a task, and what is shuffled is packed bytes rather than rows.
 
+Rows of the exchange are batches times ranges.  For them to stay few beside the tokens, ``batch`` and
+``span`` should grow as the root of the corpus, about sqrt(256 tokens) where that is above the default: a
+terabyte of text asks for some 6 million tokens a batch, 100 for 60 million on executors to match.
+
 Words are lower-cased A-Z and cut at ASCII white space; one end token follows each text and counts as a
 token.  Words and pairs are told apart by 64-bit hashes.
 
@@ -270,12 +274,12 @@ def _counts(answers: list[dict], field: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(words), np.concatenate(pairs)
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH) -> Model:
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, span: int = RANGE) -> Model:
     """Pack and count the corpus, then learn the weights on the deleted fold."""
     spark = df.sparkSession
     packed = keep(packed_batches(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), batch), "lm-packed")
     size = packed.agg(F.sum("n_tokens").alias("all"), F.sum(F.when(F.col("part") != OUT, F.col("n_tokens"))).alias("train"), F.sum(F.when(F.col("part") == MAIN, F.col("n_tokens"))).alias("main")).first()
-    ranges = max(shuffle_partitions(spark), -(-(size["all"] or 0) // RANGE))
+    ranges = max(shuffle_partitions(spark), -(-(size["all"] or 0) // span))
     answers = keep(answered(asked(packed, ranges)), "lm-answers")
     vocabulary = answers.agg(F.sum("vocabulary")).first()[0] or 0
     n_main, p0 = float(size["main"] or 0), 1.0 / (vocabulary + 1)

@@ -1,8 +1,9 @@
 """SimHash near-duplicates, linked through BK-trees.
 
 A text's fingerprint has bit i where more than half of its shingles' XXH64 hashes have it.  Distinct
-fingerprints are dealt into shards so that any two within the radius r share one: of r + 2 bit blocks at
-least two are equal, so each of the C(r + 2, 2) pairs of blocks gives a shard key.  A task holds the
+fingerprints are dealt into shards so that any two within the radius r share one: of r + s bit blocks at
+least s are equal, so each of the C(r + s, s) sets of blocks gives a shard key (s = 2, or more for corpora
+whose unrelated fingerprints would crowd the shards).  A task holds the
 BK-trees of its shards as one forest: a node's children are keyed by their Hamming distance to it, and a
 search follows only the edges within the radius of the query's own distance, all queries a level at a
 time.  The shards' trees are dealt to the tasks by key rather than broadcast, because together they grow
@@ -29,6 +30,8 @@ from skeinlake.llm.components import components
 from skeinlake.llm.suffixes import mix, row_key
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
+#: Unrelated fingerprints that a shard is to hold, about.
+SHARD = 16
 #: (query, node) pairs on the frontier of a search at once.
 FRONTIER = 1 << 19
 
@@ -84,6 +87,14 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (d if d.ndim == 1 else d.sum(axis=1)).astype(np.int64)
 
 
+def spare_blocks(n: int, radius: int, crowd: int = SHARD) -> int:
+    """Fewest equal blocks a key, from two on, at which unrelated fingerprints fill a shard with ``crowd`` at most; more blocks make longer keys and more of them."""
+    spare = 2
+    while spare < 5 and n > crowd << int(BITS * spare / (radius + spare)):
+        spare += 1
+    return spare
+
+
 class Forest:
     """BK-trees of many shards in arrays; ``shard`` is sorted.  Equal fingerprints hang below each other at distance 0."""
 
@@ -166,9 +177,9 @@ def shard_stars(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
     return fp[linked], fp[label[linked]]
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, spare: int = 2) -> DataFrame:
     """Star links (a, b) that join exactly the distinct fingerprints (column fp) within ``radius``, directly or through others."""
-    parts = [F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks(radius))]
+    parts = [F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks(radius, spare))]
     dealt = prints.select("fp", F.explode(F.array(*parts)).alias("k")).select(F.xxhash64("k.c", "k.v").alias("shard"), "fp")
     n = shuffle_partitions(prints.sparkSession)
 
@@ -191,10 +202,11 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a long, b long")
 
 
-def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def groups(prints: DataFrame, radius: int = RADIUS, crowd: int = SHARD) -> DataFrame:
     """Per row of (doc_id, fp): the same with ``component_id``, the smallest id reachable."""
     classes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
-    labels = components(links(classes.select("fp"), radius), "simhash")
+    spare = spare_blocks(classes.count(), radius, crowd)
+    labels = components(links(classes.select("fp"), radius, spare), "simhash")
     labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "least_id")
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_fp = keep(labelled.select("fp", "label").join(least, "label").select("fp", "component_id"), "simhash-labels")

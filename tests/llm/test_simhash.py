@@ -61,6 +61,9 @@ def test_every_link_is_found(spark):
     df = spark.createDataFrame([(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in rows], "doc_id long, fp long")
     got = simhash.groups(df).select("doc_id", simhash.hexadecimal(simhash.F.col("fp")).alias("fp"), "component_id").collect()
     assert sorted(map(tuple, got)) == brute_groups(rows)
+    more = simhash.groups(df, crowd=0).select("doc_id", simhash.hexadecimal(simhash.F.col("fp")).alias("fp"), "component_id").collect()
+    assert sorted(map(tuple, more)) == sorted(map(tuple, got))  # longer and more keys, the same links
+    assert [simhash.spare_blocks(n, 4) for n in (10**5, 10**8, 5 * 10**10)] == [2, 3, 4]
 
 
 def test_forest_follows_bk_edges():
