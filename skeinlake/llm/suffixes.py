@@ -40,8 +40,8 @@ from skeinlake.llm.common import keep, raw, read_table, shuffle_partitions, slic
 WIDTH, WORDS_WIDTH = 400, 50
 #: Different stretches of one minimiser that are sorted in one task.
 CROWD = 2048
-#: Shares that the rows of one crowded window are dealt into.
-SALTS = 16
+#: Shares that the rows of a frequent stretch or window are dealt into.
+SALTS = 32
 #: Members sorted together in a task.
 MEMBERS = 4096
 PLACE_BITS = 20
@@ -323,16 +323,18 @@ def spans(docs: DataFrame, unit: str = "bytes", width: int = WIDTH, gram: int |
         raise ValueError(f"the window has 1 to {(1 << _FIELD) - 1} tokens and its minimiser no more")
     every = keep(anchors(docs, unit, width, gram), "suffix-anchors")
     twice = keep(every.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1").select("minimiser"), "suffix-minimisers")
-    some = keep(every.join(twice, "minimiser"), "suffix-candidates")
-    classes = keep(some.groupBy("minimiser", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("one")), "suffix-classes")
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")
+    some = keep(every.join(twice, "minimiser").select("minimiser", "stretch", "doc", "pos", salt), "suffix-candidates")
+    # a class knows which salts its rows have, so that it meets them salt by salt and no task holds all rows of a frequent one
+    classes = keep(some.groupBy("minimiser", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("one"), F.collect_set("salt").alias("salts")), "suffix-classes")
     _, first, last = _unpacked(F.col("pos"))
-    whole = some.join(classes.filter("n > 1").select("minimiser", "stretch"), ["minimiser", "stretch"]).select("doc", first.alias("first"), (last + width).alias("last"))
+    whole = some.join(classes.filter("n > 1").select("minimiser", "stretch", F.explode("salts").alias("salt")), ["minimiser", "stretch", "salt"]).select("doc", first.alias("first"), (last + width).alias("last"))
     per = keep(classes.groupBy("minimiser").agg(F.count("*").alias("stretches")).filter("stretches > 1"), "suffix-mixed")
     wanted = classes.join(per, "minimiser").select("minimiser", F.col("one.doc").alias("doc"), F.col("one.pos").alias("pos"), (F.col("stretches") > crowd).alias("crowded"))
     drawn = keep(draw(docs, wanted, unit, width), "suffix-drawn")
-    single = drawn.filter("tokens is null").select("half_a", "half_b", "doc", "start", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"))
-    again = single.groupBy("half_a", "half_b").agg(F.count("*").alias("n")).filter("n > 1")
-    again = keep(again.select("half_a", "half_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), "suffix-crowded")
+    single = drawn.filter("tokens is null").select("half_a", "half_b", "doc", "start", salt)
+    again = single.groupBy("half_a", "half_b").agg(F.count("*").alias("n"), F.collect_set("salt").alias("salts")).filter("n > 1")
+    again = keep(again.select("half_a", "half_b", F.explode("salts").alias("salt")), "suffix-crowded")
     crowded = single.join(again, ["half_a", "half_b", "salt"]).select("doc", F.col("start").alias("first"), (F.col("start") + width).alias("last"))
     found = whole.unionByName(compare(drawn, unit, width)).unionByName(crowded)
     return found.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
