@@ -230,6 +230,7 @@ LONG = PARTS * BITS
 SIEVE = 4  # words of the fingerprint that the trees compare
 NEAR_SHINGLE, SIMILARITY, SLACK = 5, 0.8, 0.12
 RECALL, LEAST_BAND = 0.97, 16
+PARITY, BLOCK = 2048, 1 << 14  # bits of a set's parities; pairs whose parities are compared at once
 PART_SEEDS = mix(np.arange(1, PARTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 LANES = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
 
@@ -299,11 +300,19 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
         label = least_labels(n, np.r_[a[order[best]], np.arange(n)], np.r_[b[order[best]], label])
 
 
+def mixed(shard: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Positions in the shards that hold more than one group; ``shard`` is sorted."""
+    if not len(shard):
+        return np.zeros(0, np.int64)
+    first = np.r_[True, shard[1:] != shard[:-1]]
+    low, high = np.minimum.reduceat(group, np.nonzero(first)[0]), np.maximum.reduceat(group, np.nonzero(first)[0])
+    return np.nonzero((low < high)[np.cumsum(first) - 1])[0]
+
+
 def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a least spanning forest of each shard's texts within the radius, as positions."""
     none = np.zeros(0, np.int64)
-    size = np.bincount(np.cumsum(np.r_[True, shard[1:] != shard[:-1]]) - 1)
-    several = np.nonzero(np.repeat(size > 1, size))[0]
+    several = mixed(shard, np.arange(len(shard)))
     if not len(several):
         return none, none
     shard, fp = shard[several], fp[several]
@@ -328,45 +337,76 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
     return several[a[0]], several[b[0]]
 
 
-def near_links(classes: DataFrame, similarity: float, slack: float = SLACK) -> DataFrame:
-    """Candidate links (a, b) between rows of (row, long_fp): texts that share a band and lie within the radius of ``similarity - slack`` in its BK-tree."""
-    chosen = bands(classes.count(), similarity)
+def parity(held: np.ndarray) -> np.ndarray:
+    """Bit i is whether an odd number of the set's hashes fall on i: the bits in which two sets differ are no more than the members in which they do."""
+    counts = np.bincount((held & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view("<u8")
+
+
+def shard_pairs(shard: np.ndarray, fp: np.ndarray, label: np.ndarray, size: np.ndarray, odd: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of a shard's texts within the radius whose labels differ, as positions, but for those whose set sizes and parities exclude the likeness."""
+    several = mixed(shard, label)
+    if not len(several):
+        return
+    forest = Forest(shard[several], fp[several])
+    for q, node in forest.search(np.arange(len(several)), radius):
+        apart = label[several[q]] != label[several[node]]
+        q, node = several[q[apart]], several[node[apart]]
+        for at in range(0, len(q), BLOCK):
+            a, b = q[at : at + BLOCK], node[at : at + BLOCK]
+            least = np.maximum(hamming(odd[a], odd[b]), np.abs(size[a] - size[b]))
+            may = least <= (size[a] + size[b]) * (1 - similarity) / (1 + similarity) + 1e-6
+            if may.any():
+                yield a[may], b[may]
+
+
+def near_links(classes: DataFrame, chosen: np.ndarray, similarity: float, slack: float = SLACK) -> DataFrame:
+    """Candidate links (a, b), a < b, between rows of (row, long_fp): texts that share a band of ``chosen`` and lie within the radius of ``similarity - slack`` in its BK-tree.
+
+    A least spanning forest of each shard's candidates; of rows of (row, long_fp, label, held) all of them
+    whose labels differ and whose shingle sets ``held`` may have the likeness.
+    """
     radius = int(np.ceil(SIEVE * BITS * share_of(max(0.05, similarity - slack))))
-    width = chosen.shape[1]
+    width, every = chosen.shape[1], "held" in classes.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, LONG // 8)
             bits = np.unpackbits(prints, axis=1, bitorder="little")
-            sieve = pa.array([x.tobytes() for x in np.ascontiguousarray(prints[:, : SIEVE * 8])], pa.binary())
+            also = [pa.array([x.tobytes() for x in np.ascontiguousarray(prints[:, : SIEVE * 8])], pa.binary())]
+            if every:
+                sets = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+                also += [batch.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array([parity(x).tobytes() for x in sets], pa.binary())]
             for at, band in enumerate(chosen):
                 keys = bits[:, band] @ (1 << np.arange(width)) + (at << width)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), sieve], names=["shard", "row", "long_fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), *also], names=["shard", "row", "long_fp", "label", "size", "odd"][: 2 + len(also)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SIEVE), np.uint64)
+        kinds = [(np.int64, 1), (np.int64, 1), (np.uint64, SIEVE), *([(np.int64, 1), (np.int64, 1), (np.uint64, PARITY // BITS)] if every else [])]
+        held = [np.zeros((0, n) if n > 1 else 0, kind) for kind, n in kinds]
 
         def out(upto):
-            a, b = shard_links(shard[:upto], fp[:upto], radius)
-            return pa.RecordBatch.from_arrays([pa.array(rows[a]), pa.array(rows[b])], names=["a", "b"])
+            shard, rows, *some = (x[:upto] for x in held)
+            for a, b in shard_pairs(shard, some[0], *some[1:], radius, similarity) if every else [shard_links(shard, some[0], radius)]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows[a], rows[b])), pa.array(np.maximum(rows[a], rows[b]))], names=["a", "b"])
 
         for batch in batches:
-            shard = np.r_[shard, batch.column(0).to_numpy()]
-            rows = np.r_[rows, batch.column(1).to_numpy()]
-            fp = np.r_[fp, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, SIEVE)]
-            whole = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
+            new = [c.to_numpy() if n == 1 else np.frombuffer(b"".join(c.to_pylist()), kind).reshape(-1, n) for c, (kind, n) in zip(batch.columns, kinds)]
+            held = [np.concatenate(x) for x in zip(held, new)]
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if whole > 50_000:
-                yield out(whole)
-                shard, rows, fp = shard[whole:], rows[whole:], fp[whole:]
-        if len(shard):
-            yield out(len(shard))
+                yield from out(whole)
+                held = [x[whole:] for x in held]
+        if len(held[0]):
+            yield from out(len(held[0]))
 
-    dealt = classes.select("row", "long_fp").mapInArrow(deal, "shard long, row long, long_fp binary")
+    columns = ["row", "long_fp", *(["label", "held"] if every else [])]
+    dealt = classes.select(*columns).mapInArrow(deal, "shard long, row long, long_fp binary" + (", label long, size long, odd binary" if every else ""))
     return dealt.repartition(shuffle_partitions(classes.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
 
 
-def likeness(links: DataFrame, df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, jaccard) of linked rows, from their whole shingle sets; only rows with a link send theirs."""
+def shingle_sets(links: DataFrame, df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, held) of the rows with a link: the whole set of its shingles' hashes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = df.select(row_key(F.col(id_col), text).alias("row"), text.alias("text"))
     linked = links.select(F.col("a").alias("row")).unionByName(links.select(F.col("b").alias("row"))).distinct()
@@ -376,6 +416,12 @@ def likeness(links: DataFrame, df: DataFrame, shingle: int, id_col: str, text_co
             packed_ = [np.unique(hashes(shingles(t, shingle))).tobytes() for t in raw(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed_, pa.binary())], names=["row", "held"])
 
+    return rows.join(linked, "row").dropDuplicates(["row"]).mapInArrow(sets, "row long, held binary")
+
+
+def likeness(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of linked rows, from their whole shingle sets."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             out = []
@@ -385,8 +431,7 @@ def likeness(links: DataFrame, df: DataFrame, shingle: int, id_col: str, text_co
                 out.append(common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
 
-    held = keep(rows.join(linked, "row").dropDuplicates(["row"]).mapInArrow(sets, "row long, held binary"), "simhash-sets")
-    both = links.join(held.select(F.col("row").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("row").alias("b"), F.col("held").alias("y")), "b")
+    both = links.join(sets.select(F.col("row").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("held").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, jaccard double")
 
 
@@ -394,17 +439,30 @@ def dedup(df: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHI
     """The rows of ``df`` with one row of each group of near-duplicates, the one with the smallest id.
 
     Texts with the same lower-cased words are one class.  Classes that share a band of the long fingerprint
-    and lie within the radius of ``similarity - SLACK`` in the band's BK-tree are candidates; a least spanning
-    forest of them is compared exactly, and links of at least ``similarity`` form the groups.  Blank and null
-    texts are one class.  Of repeated rows one stays.
+    and lie within the radius of ``similarity - SLACK`` in the band's BK-tree are candidates, compared exactly
+    on whole shingle sets, and links of at least ``similarity`` form the groups.  A least spanning forest of
+    the candidates comes first, as it joins most of a large group with few comparisons; then every candidate
+    that no exact links have joined is compared unless its sets' sizes and parities exclude the likeness, so
+    none is given up on its estimate.  Blank and null texts are one class.  Of repeated rows one stays.
     """
     prints = keep(signatures(df, shingle, id_col, text_col), "simhash-signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = keep(prints.groupBy("words").agg(F.min(order).alias("least"), F.min("long_fp").alias("long_fp")).select(F.col("least.row").alias("row"), F.col("least.doc_id").alias("doc_id"), "long_fp"), "simhash-texts")
-    candidates = keep(near_links(classes, similarity), "simhash-candidates")
-    links_ = likeness(candidates, df, shingle, id_col, text_col).filter(F.col("jaccard") >= similarity).select("a", "b")
-    labels = components(links_, "simhash-near")
-    of_class = classes.join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", F.coalesce("label", "row").alias("label"))
+
+    chosen = bands(classes.count(), similarity)
+
+    def joined(links: DataFrame) -> DataFrame:
+        labels = components(links, "simhash-near")
+        return classes.join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", F.coalesce("label", "row").alias("label"), "long_fp")
+
+    def alike(links: DataFrame) -> DataFrame:
+        return likeness(links, sets).filter(F.col("jaccard") >= similarity).select("a", "b")
+
+    forest = keep(near_links(classes, chosen, similarity), "simhash-candidates")
+    sets = keep(shingle_sets(forest, df, shingle, id_col, text_col), "simhash-sets")  # every text with a candidate is in the forest
+    links_ = keep(alike(forest), "simhash-links")
+    rest = near_links(joined(links_).join(sets, "row"), chosen, similarity).join(forest, ["a", "b"], "left_anti")
+    of_class = joined(links_.unionByName(alike(keep(rest, "simhash-rest"))))
     stays = keep(of_class.groupBy("label").agg(F.min(order).alias("least")).select(F.col("least.row").alias("__simhash_row")), "simhash-stays")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = df.withColumn("__simhash_row", row_key(F.col(id_col), text))

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from skeinlake.llm import mixing, simhash
 from skeinlake.llm.common import keep, read_table
@@ -53,6 +55,48 @@ def test_near_duplicates(spark, docs_of):
     assert simhash.dedup(docs_of([])).count() == 0
 
 
+def dense_family(rng, members=200, partners=40, length=304, edits=4):
+    """Texts 0.765 alike, some with a partner 0.818 alike, which is as far from the others."""
+    base, places = [word(rng) for _ in range(length)], list(range(5, length - 5, 5))
+
+    def edited(at):
+        w = list(base)
+        for i in at:
+            w[i] = word(rng)
+        return w
+
+    texts = [(edits_, edited(edits_)) for edits_ in (rng.sample(places, edits) for _ in range(members))]
+    for at, w in texts[:partners]:
+        other = edited(rng.sample([i for i in places if i not in at], edits - 1))
+        other[at[0]] = w[at[0]]
+        texts.append((at, other))
+    return [(i, " ".join(w)) for i, (_, w) in enumerate(texts)]
+
+
+def test_dense_family_loses_no_candidate(spark, docs_of):
+    rows = dense_family(random.Random(5))
+    kept = {r.doc_id for r in simhash.dedup(docs_of(rows)).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = {k: min(group[i], group[j]) if v in (group[i], group[j]) else v for k, v in group.items()}
+    want = set(group.values())
+    assert want <= kept and len(want) < len(rows) - 35
+    assert len(kept - want) <= 2  # pairs that no band or sieve brings together
+
+
+def test_parities_exclude_no_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n, common = int(rng.integers(1, 4000)), float(rng.random())
+        x = rng.integers(0, 2**64, n, dtype=np.uint64)
+        y = np.r_[x[: int(n * common)], rng.integers(0, 2**64, int(rng.integers(0, 300)), dtype=np.uint64)]
+        x, y = np.unique(x), np.unique(y)
+        assert np.bitwise_count(simhash.parity(x) ^ simhash.parity(y)).sum() <= len(np.setxor1d(x, y))
+
+
 def test_mixture_rows(spark):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     docs = docs.unionByName(docs.limit(3))
