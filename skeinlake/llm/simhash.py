@@ -266,14 +266,14 @@ def bands(n: int, similarity: float, recall: float = RECALL) -> np.ndarray:
 
 
 def signatures(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: a row key, id, digest of the lower-cased words and the long fingerprint."""
+    """Per row: a row key, id, digest of the lower-cased words and the long fingerprint of the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for part in slices(batches, column=2):
             texts = raw(part.column(2))
-            prints = [long_fingerprint(hashes(shingles(t, shingle))).tobytes() for t in texts]
+            prints = [long_fingerprint(np.unique(hashes(shingles(t, shingle)))).tobytes() for t in texts]  # of the set, which likeness() compares
             words = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.binary()), pa.array(prints, pa.binary())], names=["row", "doc_id", "words", "long_fp"])
 

@@ -87,6 +87,15 @@ def test_dense_family_loses_no_candidate(spark, docs_of):
     assert len(kept - want) <= 2  # pairs that no band or sieve brings together
 
 
+def test_repeated_lines_leave_the_likeness(spark, docs_of):
+    rng = random.Random(7)
+    rows = []
+    for n in range(40):  # the same shingles; the line stands twice, and 1 or 20 times more
+        words, line = [word(rng) for _ in range(100)], [word(rng) for _ in range(14)]
+        rows += [(2 * n, " ".join(words + line * 2)), (2 * n + 1, " ".join(words + line * (3 if n % 2 else 22)))]
+    assert {r.doc_id for r in simhash.dedup(docs_of(rows)).collect()} == {2 * n for n in range(40)}
+
+
 def test_parities_exclude_no_pair():
     rng = np.random.default_rng(2)
     for _ in range(300):
