@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts handed to one Python step at once, in bytes; a single longer text forms its own slice.
 SLICE_BYTES = 8 << 20
@@ -18,12 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder; a temporary one only where the session names none and runs on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = kept.get() if kept.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="skeinlake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -33,7 +36,35 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/skeinlake/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Remove the files of kept tables that nothing reads any more."""
+    for df in kept:
+        spark, path = df.sparkSession, df._kept_at
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame, tag: str, name: str) -> DataFrame:
+    """``df`` kept, with a column of row numbers that are distinct, and the same whenever they are read: file, then place in it.
+
+    A hash of the row could meet another row's; repeated rows would share one.
+    """
+    out = keep(df, tag)
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-", 1).cast("long")
+    cut = F.regexp_extract(F.col("_metadata.file_name"), r"c(\d+)\.", 1).cast("long")
+    rows = out.select("*", (F.shiftleft(part, 40) + F.shiftleft(F.coalesce(cut, F.lit(0).cast("long")), 32) + F.col("_metadata.row_index")).alias(name))
+    rows._kept_at = out._kept_at
+    return rows
+
+
+def digest_pair(*columns: Column) -> Column:
+    """128 bits of a row's columns, as two differently seeded 64-bit hashes."""
+    return F.struct(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit("second"), *columns).alias("k"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

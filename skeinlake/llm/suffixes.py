@@ -19,7 +19,8 @@ Digits are 64-bit hashes; a window counts as repeated only if all of them agree.
 
 Defined results: a null text counts as empty; texts shorter than the window keep everything; equal texts
 of at least the window's length lose everything, repeated rows included; windows never cross rows; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; other columns are ignored by ``digests`` and kept by ``remove``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.llm.common import keep, raw, read_table, shuffle_partitions, slices
+from skeinlake.llm.common import discard, keep, numbered, raw, read_table, shuffle_partitions, slices
 
 WIDTH, WORDS_WIDTH = 400, 50
 #: Different stretches of one minimiser that are sorted in one task.
@@ -54,6 +55,7 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ANCHORS = "minimiser long, stretch long, doc long, pos long"
 DRAWN = "minimiser long, doc long, pos long, tokens binary, half_a long, half_b long, start long"
 SPANS = "doc long, first long, last long"
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -175,13 +177,13 @@ def pieces(lengths: list[int], width: int, most: int = BUFFER) -> Iterator[list[
 
 
 def anchors(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
-    """The anchors of every row of (doc, text); positions are in tokens of the row."""
+    """The anchors of every row of (doc, compressed text); positions are in tokens of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(unit)
-        for part in slices(batches, most=4 << 20):
+        for part in slices(batches, most=1 << 20):
             docs_ = part.column(0).to_numpy()
-            texts = [tokens.stored(t) for t in raw(part.column(1))]
+            texts = [tokens.stored(zlib.decompress(t)) for t in part.column(1).to_pylist()]
             for buffer in pieces([len(t) for t in texts], width):
                 sizes = np.array([b - a for _, a, b in buffer])
                 stops = np.cumsum(sizes)
@@ -296,12 +298,13 @@ def draw(docs: DataFrame, wanted: DataFrame, unit: str, width: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("minimiser", "pos", "crowded")).alias("wants"))
-    return packed(docs).join(lists, "doc").select("doc", "text", "wants").mapInArrow(run, DRAWN)
+    return docs.join(lists, "doc").select("doc", "text", "wants").mapInArrow(run, DRAWN)
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed for a shuffle; other columns as they are."""
+    """The column ``text`` compressed, null as empty; other columns as they are."""
     names = docs.columns
+    docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
@@ -312,24 +315,20 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def row_key(id_col: Column, text: Column) -> Column:
-    return F.xxhash64(id_col, text)
-
-
 def spans(docs: DataFrame, unit: str = "bytes", width: int = WIDTH, gram: int | None = None, crowd: int = CROWD) -> DataFrame:
-    """(doc, list of (first, last)) of the tokens under repeated windows, for rows (doc, text binary); lists may overlap."""
+    """(doc, list of (first, last)) of the tokens under repeated windows, for rows (doc, compressed text) with distinct ``doc``; lists may overlap."""
     gram = gram or max(1, width // (12 if unit == "bytes" else 6))
     if not 1 <= gram <= width < 1 << _FIELD:
         raise ValueError(f"the window has 1 to {(1 << _FIELD) - 1} tokens and its minimiser no more")
-    every = keep(anchors(docs, unit, width, gram), "suffix-anchors")
-    twice = keep(every.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1").select("minimiser"), "suffix-minimisers")
     salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")
-    some = keep(every.join(twice, "minimiser").select("minimiser", "stretch", "doc", "pos", salt), "suffix-candidates")
-    # a class knows which salts its rows have, so that it meets them salt by salt and no task holds all rows of a frequent one
+    every = keep(anchors(docs, unit, width, gram).select("*", salt), "suffix-anchors")
+    # a minimiser or class knows which salts its rows have, so that it meets them salt by salt and no task holds all rows of a frequent one
+    twice = every.groupBy("minimiser").agg(F.count("*").alias("n"), F.collect_set("salt").alias("salts")).filter("n > 1").select("minimiser", F.explode("salts").alias("salt"))
+    some = keep(every.join(twice, ["minimiser", "salt"]).select("minimiser", "stretch", "doc", "pos", "salt"), "suffix-candidates")
     classes = keep(some.groupBy("minimiser", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("one"), F.collect_set("salt").alias("salts")), "suffix-classes")
     _, first, last = _unpacked(F.col("pos"))
     whole = some.join(classes.filter("n > 1").select("minimiser", "stretch", F.explode("salts").alias("salt")), ["minimiser", "stretch", "salt"]).select("doc", first.alias("first"), (last + width).alias("last"))
-    per = keep(classes.groupBy("minimiser").agg(F.count("*").alias("stretches")).filter("stretches > 1"), "suffix-mixed")
+    per = classes.groupBy("minimiser").agg(F.count("*").alias("stretches")).filter("stretches > 1")
     wanted = classes.join(per, "minimiser").select("minimiser", F.col("one.doc").alias("doc"), F.col("one.pos").alias("pos"), (F.col("stretches") > crowd).alias("crowded"))
     drawn = keep(draw(docs, wanted, unit, width), "suffix-drawn")
     single = drawn.filter("tokens is null").select("half_a", "half_b", "doc", "start", salt)
@@ -337,7 +336,9 @@ def spans(docs: DataFrame, unit: str = "bytes", width: int = WIDTH, gram: int |
     again = keep(again.select("half_a", "half_b", F.explode("salts").alias("salt")), "suffix-crowded")
     crowded = single.join(again, ["half_a", "half_b", "salt"]).select("doc", F.col("start").alias("first"), (F.col("start") + width).alias("last"))
     found = whole.unionByName(compare(drawn, unit, width)).unionByName(crowded)
-    return found.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    out = keep(found.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "suffix-spans")
+    discard(every, some, classes, drawn, again)
+    return out
 
 
 def _unpacked(pos: Column) -> tuple[Column, Column, Column]:
@@ -386,31 +387,37 @@ def word_spans(text: bytes, cut: list[tuple[int, int]]) -> list[tuple[int, int]]
 
 
 def digests(df: DataFrame, width: int = WIDTH, gram: int | None = None, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, bytes, bytes removed, maximal removed spans and a digest of the bytes that stay."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    docs = df.select(row_key(F.col(id_col), text).alias("doc"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    """Per row: id, bytes, bytes removed, maximal removed spans, a digest of the bytes that stay, and the text that stays.
+
+    The digest is of the bytes exactly; in the text a character stays whole if one of its bytes stays.
+    """
+    docs = numbered(packed(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "suffix-docs", "doc")
     found = spans(docs.select("doc", "text"), "bytes", width, gram, crowd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches, most=1 << 20):
             rows = []
             for small, spans_ in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 whole, cut = zlib.decompress(small), merge(spans_)
-                rows.append((len(whole), sum(b - a for a, b in cut), len(cut), hashlib.sha256(kept_bytes(whole, cut)).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                stays = kept_bytes(whole, cut)
+                text = stays if whole.isascii() or not cut else kept_bytes(whole, whole_characters(whole, cut))
+                rows.append((len(whole), sum(b - a for a, b in cut), len(cut), hashlib.sha256(stays).hexdigest(), text.decode()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
-    joined = packed(docs).join(found, "doc", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = docs.join(found, "doc", "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(run, DIGESTS)
 
 
 def remove(df: DataFrame, unit: str = "words", width: int | None = None, gram: int | None = None, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with the tokens under repeated windows cut out of their text; null texts stay null."""
     width = width or (WORDS_WIDTH if unit == "words" else WIDTH)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = df.withColumn("__suffix_doc", row_key(F.col(id_col), text))
-    found = spans(rows.select(F.col("__suffix_doc").alias("doc"), text.alias("text")), unit, width, gram, crowd)
-    joined = rows.join(found.select(F.col("doc").alias("__suffix_doc"), F.col("spans").alias("__suffix_spans")), "__suffix_doc", "left")
+    number, held = free_name(df, "number"), free_name(df, "spans")
+    rows = numbered(df, "suffix-rows", number)
+    docs = keep(packed(rows.select(F.col(number).alias("doc"), F.col(text_col).alias("text"))), "suffix-docs")
+    found = spans(docs, unit, width, gram, crowd)
+    discard(docs)
+    joined = rows.join(found.select(F.col("doc").alias(number), F.col("spans").alias(held)), number, "left")
 
     @F.pandas_udf("string")
     def cut_out(texts, found_):
@@ -424,8 +431,43 @@ def remove(df: DataFrame, unit: str = "words", width: int | None = None, gram: i
             out.append(kept_bytes(b, word_spans(b, cut) if unit == "words" else whole_characters(b, cut)).decode("utf-8", "replace"))
         return pd.Series(out, dtype=object)
 
-    return joined.withColumn(text_col, cut_out(F.col(text_col), F.col("__suffix_spans"))).select(*df.columns)
+    return joined.withColumn(text_col, cut_out(F.col(text_col), F.col(held))).select(*df.columns)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
+
+
+def oracle(width: int = WIDTH) -> str:
+    """The same in DuckDB SQL: a digest of every window of every text, cut from pieces of a window's length and their successors."""
+    lead = lambda at: f"CASE WHEN substr(h, 2 * ({at}) + 1, 1) IN ('8', '9', 'A', 'B') THEN 0 ELSE 1 END"
+    ahead = f"CASE WHEN {lead('a')} = 1 THEN 0 WHEN {lead('a + 1')} = 1 THEN 1 WHEN {lead('a + 2')} = 1 THEN 2 ELSE 3 END"
+    back = f"CASE WHEN {lead('b')} = 1 THEN 0 WHEN {lead('b - 1')} = 1 THEN 1 WHEN {lead('b - 2')} = 1 THEN 2 ELSE 3 END"
+    between = "string_agg(substr(h, 2 * coalesce(past, 0) + 1, 2 * ({a} - coalesce(past, 0))), '' ORDER BY {a}) || substr(any_value(h), 2 * max({b}) + 1)"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+    c AS (SELECT k, n, unnest(range(n // {width} + 1)) AS j, h FROM d WHERE n >= {width}),
+    p AS (SELECT k, n, j, substr(h, {2 * width} * j + 1, {4 * width}) AS piece FROM c),
+    o AS (SELECT k, n, j, piece, unnest(range({width})) AS i FROM p),
+    w AS (SELECT k, j * {width} + i AS s, md5_number(substr(piece, 2 * i + 1, {2 * width})) AS m FROM o WHERE j * {width} + i + {width} <= n),
+    r AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+    u AS (SELECT k, s, CASE WHEN s > lag(s) OVER (PARTITION BY k ORDER BY s) + {width} THEN 1 ELSE 0 END AS new FROM w SEMI JOIN r USING (m)),
+    g AS (SELECT k, s, sum(new) OVER (PARTITION BY k ORDER BY s) AS span FROM u),
+    x AS (SELECT k, span, min(s) AS a, max(s) + {width} AS b FROM g GROUP BY k, span),
+    e AS (SELECT k, a, b, lag(b) OVER (PARTITION BY k ORDER BY a) AS past, h FROM x JOIN d USING (k)),
+    kept AS (SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans, {between.format(a="a", b="b")} AS kept_hex FROM e GROUP BY k),
+    z AS (SELECT k, h, a + {ahead} AS a, b - CASE WHEN 2 * b >= length(h) THEN 0 ELSE {back} END AS b FROM e),
+    y AS (SELECT k, h, a, b, lag(b) OVER (PARTITION BY k ORDER BY a) AS past FROM z WHERE a < b),
+    texts AS (SELECT k, {between.format(a="a", b="b")} AS text_hex FROM y GROUP BY k)
+    SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept_hex, h))) AS kept_sha256, decode(unhex(coalesce(text_hex, h))) AS text
+    FROM d LEFT JOIN kept USING (k) LEFT JOIN texts USING (k)
+    """
