@@ -67,6 +67,21 @@ def digest_pair(*columns: Column) -> Column:
     return F.struct(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit("second"), *columns).alias("k"))
 
 
+def salt_of(column: Column, salts: int) -> Column:
+    """The share, of ``salts``, that a row is dealt into."""
+    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+
+
+def salt_mask(salt: Column) -> Column:
+    """Aggregate: the salts of a group as bits of a long, which a hash aggregate holds at fixed size."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt))
+
+
+def each_salt(mask: Column, salts: int) -> Column:
+    """One row for each bit of ``salt_mask``."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda x: F.call_function("shiftright", mask, x).bitwiseAND(F.lit(1).cast("long")) == 1))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

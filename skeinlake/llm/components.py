@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.llm.common import discard, keep
+from skeinlake.llm.common import discard, each_salt, keep, salt_mask, salt_of
 
 #: Shares that the rows of a node are dealt into where they meet its least neighbour.
 SALTS = 16
@@ -21,7 +21,7 @@ SALTS = 16
 
 def _meet(rows: DataFrame, least: DataFrame) -> DataFrame:
     """``rows`` (a, b, salt) with ``m`` of their node, salt by salt."""
-    return rows.join(least.select("a", "m", F.explode("salts").alias("salt")), ["a", "salt"])
+    return rows.join(least.select("a", "m", each_salt(F.col("salts"), SALTS).alias("salt")), ["a", "salt"])
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -30,8 +30,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     Each round is written to the shared folder and the one before removed, so lineage stays short and lost
     executors cost one round.
     """
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")
-    low = F.min("b").alias("m"), F.collect_set("salt").alias("salts")
+    salt = salt_of(F.col("b"), SALTS).alias("salt")
+    low = F.min("b").alias("m"), salt_mask(F.col("salt")).alias("salts")
     now = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
     before = None
     while True:

@@ -25,14 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.llm.common import keep, raw, read_table, shuffle_partitions, slices
+from skeinlake.llm.common import discard, each_salt, keep, numbered, raw, read_table, salt_mask, salt_of, shuffle_partitions, slices
 from skeinlake.llm.components import components
-from skeinlake.llm.suffixes import mix
-
-
-def row_key(id_col: Column, text: Column) -> Column:
-    return F.xxhash64(id_col, text)
-
+from skeinlake.llm.suffixes import free_name, mix
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Unrelated fingerprints that a shard is to hold, about.
@@ -125,20 +120,21 @@ class Forest:
         order = np.argsort(key, kind="stable")
         self.edge, self.child = key[order], nodes[order]
 
-    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, node) positions within the radius in the query's own tree, the node before the query."""
-        for some in np.array_split(queries, max(1, -(-len(queries) // 20_000))):
-            stack = [(some, self.root[some])]
+    def near(self, fp: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) positions within the radius, for fingerprints that each ask the tree at a root."""
+        step = self.bits + 1
+        for some in np.array_split(np.arange(len(fp)), max(1, -(-len(fp) // 20_000))):
+            stack = [(some, roots[some])]
             while stack:
                 q, node = stack.pop()
                 if len(q) > FRONTIER:
                     half = len(q) // 2
                     stack += [(q[:half], node[:half]), (q[half:], node[half:])]
                     continue
-                d, step = hamming(self.fp[q], self.fp[node]), self.bits + 1
-                near = (d <= radius) & (node < q)
-                if near.any():
-                    yield q[near], node[near]
+                d = hamming(fp[q], self.fp[node])
+                hit = d <= radius
+                if hit.any():
+                    yield q[hit], node[hit]
                 low = np.searchsorted(self.edge, node * step + np.maximum(d - radius, 0))
                 high = np.searchsorted(self.edge, node * step + np.minimum(d + radius, self.bits), side="right")
                 n = high - low
@@ -146,6 +142,14 @@ class Forest:
                     ahead = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                     stack.append((np.repeat(q, n), self.child[ahead]))
 
+    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) positions within the radius in the query's own tree, the node before the query."""
+        for q, node in self.near(self.fp[queries], self.root[queries], radius):
+            q = queries[q]
+            before = node < q
+            if before.any():
+                yield q[before], node[before]
+
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest position reachable from each of n positions over the links a-b."""
@@ -227,19 +231,26 @@ def query(spark, sf_dir: str) -> DataFrame:
     return groups(prints).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicate removal on longer fingerprints.  64 bits tell texts apart that share eight or nine tenths of
-# their shingles only within a wide radius, which no set of shard keys can cover; with 512 bits the share of
-# equal bits measures the likeness to a few hundredths, and bands of them make the shard keys.
+# Near-duplicate removal.  64 bits tell texts apart that share eight or nine tenths of their shingles only
+# within a wide radius, which no set of shard keys can cover.  Here the fingerprint has 512 bits, whose share of
+# equal ones measures the likeness to a few hundredths, and the shard keys are least hashes of the shingle set: their
+# number is fixed by the recall, not by the corpus.
 PARTS = 8
 LONG = PARTS * BITS
-SIEVE = 4  # words of the fingerprint that the trees compare
-NEAR_SHINGLE, SIMILARITY, SLACK = 5, 0.8, 0.12
-RECALL, LEAST_BAND = 0.97, 16
-PARITY, BLOCK = 2048, 1 << 14  # bits of a set's parities; pairs whose parities are compared at once
+NEAR_SHINGLE, SIMILARITY, SLACK = 5, 0.8, 0.25
+#: Shard keys a text, and least hashes in each: two texts of likeness s share a key with probability 1 - (1 - s ** HASHES) ** KEYS, 0.9996 at 0.8.
+KEYS, HASHES = 20, 5
+#: Texts of one shard whose BK-tree is searched in one task; a larger shard is cut into so many trees.
+BLOCK = 2048
+SALTS = 32
+PARITY, PAIRS = 2048, 1 << 14  # bits of a set's parities; pairs whose parities are compared at once
 PART_SEEDS = mix(np.arange(1, PARTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+LEAST_SEEDS = mix(np.arange(1, 2 * KEYS * HASHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).reshape(2, -1)
 LANES = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
 
-SIGNATURES = "row long, doc_id long, words binary, long_fp binary"
+SIGNATURES = "row long, doc_id long, words binary, shards array<long>"
+SETS = "row long, held binary, size long, odd binary, long_fp binary"
+DEALT = "tree long, query boolean, node boolean, row long, label long, size long, odd binary, long_fp binary"
 
 
 def long_fingerprint(h: np.ndarray) -> np.ndarray:
@@ -258,88 +269,34 @@ def share_of(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def bands(n: int, similarity: float, recall: float = RECALL) -> np.ndarray:
-    """Bit numbers of each band, for n texts: wide enough that unrelated texts rarely share one, and so many that two texts of this likeness share one with probability ``recall``."""
-    width = max(LEAST_BAND, n.bit_length() - 2)
-    hit = (1 - share_of(similarity)) ** width
-    many = int(np.ceil(np.log(1 - recall) / np.log(1 - hit)))
-    rng, out = np.random.default_rng(0), []
-    while len(out) < many:
-        bits = rng.permutation(LONG)[: LONG // width * width]
-        out += list(bits.reshape(-1, width))
-    return np.array(out[:many])
+def shard_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a set of hashes: each mixes its number and the least of the hashes under several multipliers."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(KEYS * HASHES, np.uint64(2**64 - 1))
+    for at in range(0, len(h), 2048):
+        least = np.minimum(least, (h[at : at + 2048, None] * (LEAST_SEEDS[0] | np.uint64(1)) + LEAST_SEEDS[1]).min(axis=0))
+    key = np.arange(1, KEYS + 1, dtype=np.uint64)
+    for part in least.reshape(HASHES, KEYS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + part)
+    return key.view(np.int64)
 
 
-def signatures(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: a row key, id, digest of the lower-cased words and the long fingerprint of the distinct shingles."""
+def signatures(rows: DataFrame, shingle: int, number: str, id_col: str, text_col: str) -> DataFrame:
+    """Per row: its number, id, digest of the lower-cased words and the shard keys of the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for part in slices(batches, column=2):
             texts = raw(part.column(2))
-            prints = [long_fingerprint(np.unique(hashes(shingles(t, shingle)))).tobytes() for t in texts]  # of the set, which likeness() compares
+            keys = [shard_keys(np.unique(hashes(shingles(t, shingle)))) for t in texts]
             words = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.binary()), pa.array(prints, pa.binary())], names=["row", "doc_id", "words", "long_fp"])
-
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return df.select(row_key(F.col(id_col), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, SIGNATURES)
+            ends = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.binary()), lists], names=["row", "doc_id", "words", "shards"])
 
-
-def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Positions of the links of a least spanning forest: each round every group takes its nearest link to another."""
-    order = np.argsort(d, kind="stable")
-    label, taken = np.arange(n), []
-    while True:
-        x, y = label[a[order]], label[b[order]]
-        apart = x != y
-        if not apart.any():
-            return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
-        order, x, y = order[apart], x[apart], y[apart]
-        rank = np.arange(len(order))
-        best = np.full(n, len(order))
-        np.minimum.at(best, x, rank)
-        np.minimum.at(best, y, rank)
-        best = np.unique(best[best < len(order)])
-        taken.append(order[best])
-        label = least_labels(n, np.r_[a[order[best]], np.arange(n)], np.r_[b[order[best]], label])
-
-
-def mixed(shard: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Positions in the shards that hold more than one group; ``shard`` is sorted."""
-    if not len(shard):
-        return np.zeros(0, np.int64)
-    first = np.r_[True, shard[1:] != shard[:-1]]
-    low, high = np.minimum.reduceat(group, np.nonzero(first)[0]), np.maximum.reduceat(group, np.nonzero(first)[0])
-    return np.nonzero((low < high)[np.cumsum(first) - 1])[0]
-
-
-def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a least spanning forest of each shard's texts within the radius, as positions."""
-    none = np.zeros(0, np.int64)
-    several = mixed(shard, np.arange(len(shard)))
-    if not len(several):
-        return none, none
-    shard, fp = shard[several], fp[several]
-    forest = Forest(shard, fp)
-    a, b, d, held = [none], [none], [none], 0
-
-    def fold():
-        nonlocal a, b, d
-        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
-        best = spanning(len(fp), a, b, d)
-        a, b, d = [a[best]], [b[best]], [d[best]]
-
-    for q, node in forest.search(np.arange(len(fp)), radius):
-        a.append(q)
-        b.append(node)
-        d.append(hamming(fp[q], fp[node]))
-        held += len(q)
-        if held > FRONTIER:
-            fold()
-            held = 0
-    fold()
-    return several[a[0]], several[b[0]]
+    return rows.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, SIGNATURES)
 
 
 def parity(held: np.ndarray) -> np.ndarray:
@@ -348,127 +305,143 @@ def parity(held: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(bool), bitorder="little").view("<u8")
 
 
-def shard_pairs(shard: np.ndarray, fp: np.ndarray, label: np.ndarray, size: np.ndarray, odd: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair of a shard's texts within the radius whose labels differ, as positions, but for those whose set sizes and parities exclude the likeness."""
-    several = mixed(shard, label)
-    if not len(several):
-        return
-    forest = Forest(shard[several], fp[several])
-    for q, node in forest.search(np.arange(len(several)), radius):
-        apart = label[several[q]] != label[several[node]]
-        q, node = several[q[apart]], several[node[apart]]
-        for at in range(0, len(q), BLOCK):
-            a, b = q[at : at + BLOCK], node[at : at + BLOCK]
-            least = np.maximum(hamming(odd[a], odd[b]), np.abs(size[a] - size[b]))
-            may = least <= (size[a] + size[b]) * (1 - similarity) / (1 + similarity) + 1e-6
-            if may.any():
-                yield a[may], b[may]
-
-
-def near_links(classes: DataFrame, chosen: np.ndarray, similarity: float, slack: float = SLACK) -> DataFrame:
-    """Candidate links (a, b), a < b, between rows of (row, long_fp): texts that share a band of ``chosen`` and lie within the radius of ``similarity - slack`` in its BK-tree.
-
-    A least spanning forest of each shard's candidates; of rows of (row, long_fp, label, held) all of them
-    whose labels differ and whose shingle sets ``held`` may have the likeness.
-    """
-    radius = int(np.ceil(SIEVE * BITS * share_of(max(0.05, similarity - slack))))
-    width, every = chosen.shape[1], "held" in classes.columns
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, LONG // 8)
-            bits = np.unpackbits(prints, axis=1, bitorder="little")
-            also = [pa.array([x.tobytes() for x in np.ascontiguousarray(prints[:, : SIEVE * 8])], pa.binary())]
-            if every:
-                sets = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
-                also += [batch.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array([parity(x).tobytes() for x in sets], pa.binary())]
-            for at, band in enumerate(chosen):
-                keys = bits[:, band] @ (1 << np.arange(width)) + (at << width)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), *also], names=["shard", "row", "long_fp", "label", "size", "odd"][: 2 + len(also)])
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """Of rows (row, text): the whole set of shingle hashes, its size and parities, and the long fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [(np.int64, 1), (np.int64, 1), (np.uint64, SIEVE), *([(np.int64, 1), (np.int64, 1), (np.uint64, PARITY // BITS)] if every else [])]
-        held = [np.zeros((0, n) if n > 1 else 0, kind) for kind, n in kinds]
-
-        def out(upto):
-            shard, rows, *some = (x[:upto] for x in held)
-            for a, b in shard_pairs(shard, some[0], *some[1:], radius, similarity) if every else [shard_links(shard, some[0], radius)]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows[a], rows[b])), pa.array(np.maximum(rows[a], rows[b]))], names=["a", "b"])
-
-        for batch in batches:
-            new = [c.to_numpy() if n == 1 else np.frombuffer(b"".join(c.to_pylist()), kind).reshape(-1, n) for c, (kind, n) in zip(batch.columns, kinds)]
-            held = [np.concatenate(x) for x in zip(held, new)]
-            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if whole > 50_000:
-                yield from out(whole)
-                held = [x[whole:] for x in held]
-        if len(held[0]):
-            yield from out(len(held[0]))
-
-    columns = ["row", "long_fp", *(["label", "held"] if every else [])]
-    dealt = classes.select(*columns).mapInArrow(deal, "shard long, row long, long_fp binary" + (", label long, size long, odd binary" if every else ""))
-    return dealt.repartition(shuffle_partitions(classes.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
-
-
-def shingle_sets(links: DataFrame, df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, held) of the rows with a link: the whole set of its shingles' hashes."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = df.select(row_key(F.col(id_col), text).alias("row"), text.alias("text"))
-    linked = links.select(F.col("a").alias("row")).unionByName(links.select(F.col("b").alias("row"))).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            packed_ = [np.unique(hashes(shingles(t, shingle))).tobytes() for t in raw(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed_, pa.binary())], names=["row", "held"])
+            sets = [np.unique(hashes(shingles(t, shingle))) for t in raw(part.column(1))]
+            columns = [pa.array([f(x).tobytes() for x in sets], pa.binary()) for f in (np.asarray, parity, long_fingerprint)]
+            yield pa.RecordBatch.from_arrays([part.column(0), columns[0], pa.array(list(map(len, sets)), pa.int64()), *columns[1:]], names=[x.split()[0] for x in SETS.split(", ")])
 
-    return rows.join(linked, "row").dropDuplicates(["row"]).mapInArrow(sets, "row long, held binary")
+    return texts.select("row", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, SETS)
 
 
-def likeness(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of linked rows, from their whole shingle sets."""
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have the likeness.
+
+    A row with many partners has its set dealt once to each salt of theirs, so no task holds all its pairs.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            out = []
+            hit = []
             for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
+                hit.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    both = links.join(sets.select(F.col("row").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("held").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, jaccard double")
+    def with_set(rows: DataFrame, side: str, other: str, name: str) -> DataFrame:
+        rows = rows.withColumn("salt", salt_of(F.col(other), SALTS))
+        needs = rows.groupBy(side).agg(salt_mask(F.col("salt")).alias("mask")).select(side, each_salt(F.col("mask"), SALTS).alias("salt"))
+        return rows.join(sets.select(F.col("row").alias(side), F.col("held").alias(name)).join(needs, side), [side, "salt"]).drop("salt")
 
+    return with_set(with_set(pairs, "a", "b", "x"), "b", "a", "y").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-def dedup(df: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def tree_pairs(members: DataFrame, radius: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) with different labels that share a shard and lie within the radius in its BK-trees, except where set sizes and parities exclude the likeness.
+
+    ``members``: (shard, row, label, size, odd, long_fp).  In a shard with one label nothing is left to
+    find; in others the texts that do not have the label of the shard's first row ask its trees.  A shard
+    above ``block`` texts is dealt as several trees, and those texts ask each; they pass a task in batches.
+    """
+    state = members.groupBy("shard").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("row", "label")).alias("first"), salt_mask(F.col("salt")).alias("mask"))
+    mixed = state.filter("low < high").select("shard", F.col("first.label").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("trees"), each_salt(F.col("mask"), SALTS).alias("salt"))
+    own = F.pmod(F.xxhash64("row"), F.col("trees")).cast("int")
+    asks = F.col("label") != F.col("main")
+    every = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: F.struct(t.alias("at"), F.lit(True).alias("query"), (t == own).alias("node")))
+    places = F.when(asks, every).otherwise(F.array(F.struct(own.alias("at"), F.lit(False).alias("query"), F.lit(True).alias("node"))))
+    dealt = members.join(mixed, ["shard", "salt"]).withColumn("place", F.explode(places))
+    dealt = dealt.select(F.xxhash64("shard", "place.at").alias("tree"), "place.query", "place.node", "row", "label", "size", "odd", "long_fp")
+
+    def numbers(column: pa.Array, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            tree, query, node, row, label, size, odd, fp = rows
+            nodes, queries = np.nonzero(node)[0], np.nonzero(query)[0]
+            if not len(nodes) or not len(queries):
+                return
+            forest = Forest(tree[nodes], fp[nodes])
+            at = np.searchsorted(tree[nodes], tree[queries])
+            known = np.nonzero((at < len(nodes)) & (tree[nodes][np.minimum(at, len(nodes) - 1)] == tree[queries]))[0]
+            queries, at = queries[known], forest.root[at[known]]
+            for q, n in forest.near(fp[queries], at, radius):
+                a, b = queries[q], nodes[n]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                for i in range(0, len(a), PAIRS):
+                    x, y = a[i : i + PAIRS], b[i : i + PAIRS]
+                    least = np.maximum(hamming(odd[x], odd[y]), np.abs(size[x] - size[y]))
+                    may = least <= (size[x] + size[y]) * (1 - similarity) / (1 + similarity) + 1e-6
+                    if may.any():
+                        x, y = row[x[may]], row[y[may]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]] + [numbers(batch.column(6), PARITY // BITS), numbers(batch.column(7), PARTS)]
+            held = [np.concatenate(x) for x in zip(held, new)] if held else new
+            if len(held[0]) < 8 * BLOCK:
+                continue
+            # trees before the last are whole; of the last, once its nodes are, only they wait for further queries
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            going = np.arange(last, len(held[0]))
+            if held[2][-1]:
+                yield from found([x[:last] for x in held])
+                held = [x[last:] for x in held]
+            else:
+                yield from found(held)
+                held = [x[going[held[2][last:]]] for x in held]
+                held[1] = np.zeros(len(held[0]), bool)
+        if held:
+            yield from found(held)
+
+    n = shuffle_partitions(members.sparkSession)
+    return dealt.repartition(n, "tree").sortWithinPartitions(F.col("tree"), F.col("node").desc()).mapInArrow(run, "a long, b long").distinct()
+
+
+def dedup(df: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``df`` with one row of each group of near-duplicates, the one with the smallest id.
 
-    Texts with the same lower-cased words are one class.  Classes that share a band of the long fingerprint
-    and lie within the radius of ``similarity - SLACK`` in the band's BK-tree are candidates, compared exactly
-    on whole shingle sets, and links of at least ``similarity`` form the groups.  A least spanning forest of
-    the candidates comes first, as it joins most of a large group with few comparisons; then every candidate
-    that no exact links have joined is compared unless its sets' sizes and parities exclude the likeness, so
-    none is given up on its estimate.  Blank and null texts are one class.  Of repeated rows one stays.
+    Texts with the same lower-cased words are one class.  Classes that share a shard are candidates.  First
+    each meets the shard's first row: compared exactly, that joins most of a group with one comparison a
+    row, however large the shard.  Then, in shards that still hold several groups, the BK-trees of the long
+    fingerprints give every pair of different groups within the radius of ``similarity - SLACK``, and each is
+    compared exactly on whole shingle sets unless sizes and parities exclude the likeness.  Nothing below
+    ``similarity`` is linked, and no candidate is given up before it was compared or joined.
+
+    Defined results: blank and null texts are one class; of repeated rows one stays; null ids come last, ties
+    on the id are broken by the row's place; an empty table gives an empty result; columns keep their names.
     """
-    prints = keep(signatures(df, shingle, id_col, text_col), "simhash-signatures")
+    number = free_name(df, "number")
+    rows = numbered(df, "simhash-rows", number)
+    prints = keep(signatures(rows, shingle, number, id_col, text_col), "simhash-signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = keep(prints.groupBy("words").agg(F.min(order).alias("least"), F.min("long_fp").alias("long_fp")).select(F.col("least.row").alias("row"), F.col("least.doc_id").alias("doc_id"), "long_fp"), "simhash-texts")
-
-    chosen = bands(classes.count(), similarity)
-
-    def joined(links: DataFrame) -> DataFrame:
-        labels = components(links, "simhash-near")
-        return classes.join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", F.coalesce("label", "row").alias("label"), "long_fp")
-
-    def alike(links: DataFrame) -> DataFrame:
-        return likeness(links, sets).filter(F.col("jaccard") >= similarity).select("a", "b")
-
-    forest = keep(near_links(classes, chosen, similarity), "simhash-candidates")
-    sets = keep(shingle_sets(forest, df, shingle, id_col, text_col), "simhash-sets")  # every text with a candidate is in the forest
-    links_ = keep(alike(forest), "simhash-links")
-    rest = near_links(joined(links_).join(sets, "row"), chosen, similarity).join(forest, ["a", "b"], "left_anti")
-    of_class = joined(links_.unionByName(alike(keep(rest, "simhash-rest"))))
-    stays = keep(of_class.groupBy("label").agg(F.min(order).alias("least")).select(F.col("least.row").alias("__simhash_row")), "simhash-stays")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = df.withColumn("__simhash_row", row_key(F.col(id_col), text))
-    return rows.join(stays, "__simhash_row", "left_semi").dropDuplicates(["__simhash_row"]).select(*df.columns)
+    classes = keep(prints.groupBy("words").agg(F.min(order).alias("least"), F.min("shards").alias("shards")).select(F.col("least.row").alias("row"), F.col("least.doc_id").alias("doc_id"), "shards"), "simhash-texts")
+
+    dealt = classes.select("row", F.explode("shards").alias("shard"), salt_of(F.col("row"), SALTS).alias("salt"))
+    first = dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min("row").alias("first"), salt_mask(F.col("salt")).alias("mask")).filter("n > 1")
+    members = keep(dealt.join(first.select("shard", "first", each_salt(F.col("mask"), SALTS).alias("salt")), ["shard", "salt"]), "simhash-members")
+    wanted = members.select(F.col("row").alias(number)).distinct()
+    sets = keep(shingle_sets(rows.select(number, text_col).join(wanted, number).select(F.col(number).alias("row"), F.col(text_col).alias("text")), shingle), "simhash-sets")
+
+    met = keep(members.filter("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct(), "simhash-first")
+    links_ = keep(alike(met, sets, similarity), "simhash-links")
+    labels = components(links_, "simhash-near")
+    labelled = members.join(labels.withColumnRenamed("node", "row"), "row", "left").select("shard", "salt", "row", F.coalesce("label", "row").alias("label"))
+    radius = int(np.ceil(LONG * share_of(max(0.05, similarity - SLACK))))
+    rest = keep(tree_pairs(labelled.join(sets.drop("held"), "row"), radius, similarity, block).join(met, ["a", "b"], "left_anti"), "simhash-rest")
+    more = keep(alike(rest, sets, similarity), "simhash-more")
+    labels = components(links_.unionByName(more), "simhash-near")
+
+    of_class = classes.select("row", "doc_id").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", F.coalesce("label", "row").alias("label"))
+    stays = keep(of_class.groupBy("label").agg(F.min(order).alias("least")).select(F.col("least.row").alias(number)), "simhash-stays")
+    discard(prints, classes, members, sets, met, links_, rest, more, labels)
+    return rows.join(stays, number, "left_semi").select(*df.columns)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.llm.common import discard, keep, numbered, raw, read_table, shuffle_partitions, slices
+from skeinlake.llm.common import discard, each_salt, keep, numbered, raw, read_table, salt_mask, salt_of, shuffle_partitions, slices
 
 WIDTH, WORDS_WIDTH = 400, 50
 #: Different stretches of one minimiser that are sorted in one task.
@@ -320,20 +320,20 @@ def spans(docs: DataFrame, unit: str = "bytes", width: int = WIDTH, gram: int |
     gram = gram or max(1, width // (12 if unit == "bytes" else 6))
     if not 1 <= gram <= width < 1 << _FIELD:
         raise ValueError(f"the window has 1 to {(1 << _FIELD) - 1} tokens and its minimiser no more")
-    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")
+    salt = salt_of(F.col("doc"), SALTS).alias("salt")
     every = keep(anchors(docs, unit, width, gram).select("*", salt), "suffix-anchors")
     # a minimiser or class knows which salts its rows have, so that it meets them salt by salt and no task holds all rows of a frequent one
-    twice = every.groupBy("minimiser").agg(F.count("*").alias("n"), F.collect_set("salt").alias("salts")).filter("n > 1").select("minimiser", F.explode("salts").alias("salt"))
+    twice = every.groupBy("minimiser").agg(F.count("*").alias("n"), salt_mask(F.col("salt")).alias("salts")).filter("n > 1").select("minimiser", each_salt(F.col("salts"), SALTS).alias("salt"))
     some = keep(every.join(twice, ["minimiser", "salt"]).select("minimiser", "stretch", "doc", "pos", "salt"), "suffix-candidates")
-    classes = keep(some.groupBy("minimiser", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("one"), F.collect_set("salt").alias("salts")), "suffix-classes")
+    classes = keep(some.groupBy("minimiser", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("one"), salt_mask(F.col("salt")).alias("salts")), "suffix-classes")
     _, first, last = _unpacked(F.col("pos"))
-    whole = some.join(classes.filter("n > 1").select("minimiser", "stretch", F.explode("salts").alias("salt")), ["minimiser", "stretch", "salt"]).select("doc", first.alias("first"), (last + width).alias("last"))
+    whole = some.join(classes.filter("n > 1").select("minimiser", "stretch", each_salt(F.col("salts"), SALTS).alias("salt")), ["minimiser", "stretch", "salt"]).select("doc", first.alias("first"), (last + width).alias("last"))
     per = classes.groupBy("minimiser").agg(F.count("*").alias("stretches")).filter("stretches > 1")
     wanted = classes.join(per, "minimiser").select("minimiser", F.col("one.doc").alias("doc"), F.col("one.pos").alias("pos"), (F.col("stretches") > crowd).alias("crowded"))
     drawn = keep(draw(docs, wanted, unit, width), "suffix-drawn")
     single = drawn.filter("tokens is null").select("half_a", "half_b", "doc", "start", salt)
-    again = single.groupBy("half_a", "half_b").agg(F.count("*").alias("n"), F.collect_set("salt").alias("salts")).filter("n > 1")
-    again = keep(again.select("half_a", "half_b", F.explode("salts").alias("salt")), "suffix-crowded")
+    again = single.groupBy("half_a", "half_b").agg(F.count("*").alias("n"), salt_mask(F.col("salt")).alias("salts")).filter("n > 1")
+    again = keep(again.select("half_a", "half_b", each_salt(F.col("salts"), SALTS).alias("salt")), "suffix-crowded")
     crowded = single.join(again, ["half_a", "half_b", "salt"]).select("doc", F.col("start").alias("first"), (F.col("start") + width).alias("last"))
     found = whole.unionByName(compare(drawn, unit, width)).unionByName(crowded)
     out = keep(found.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "suffix-spans")
