@@ -66,4 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.oracle(),
     "op6_suffixes": suffixes.oracle(),
+    "op9_licenses": licenses.oracle(),
 }
