@@ -1,13 +1,16 @@
 """Document fingerprints from spot signatures.
 
-At every common word (anchor) a signature is the anchor with the chain of the next content words; a
-text's signatures form a set, its fingerprint is a digest of the sorted set and likeness is the Jaccard
-measure of two sets.  ``similar`` compares sets only where their sizes allow the threshold (sets are
-partitioned by length) and stops once it is out of reach; ``similar_pairs`` joins a whole table that way.
+At every common word (anchor) a signature is the anchor with the chain of the next content words.  A text's
+fingerprint is the sorted set of its signatures' 64-bit hashes, written as hexadecimal digits, sixteen each;
+the likeness of two fingerprints is the Jaccard measure of the two sets and follows from them alone.
+``similar`` compares two fingerprints against a threshold: sets are partitioned by length so that those at
+least so alike lie in the same or the next partition, others are told apart by their lengths, and the
+comparison stops once the threshold is out of reach.  ``similar_pairs`` joins a whole table that way.
 
 Defined results: a null text counts as empty; a text without a signature has one, of its whole word
 sequence, so that equal texts stay equal and different short ones differ; repeated rows are separate
-documents, in the order of (id, text); null ids come last; an empty table gives an empty result.
+documents, in the order of (id, text); null ids come last; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,12 +38,15 @@ ANCHORS = frozenset(
         "con de del el en es la las los no para por que se su una y"
     ).split()
 )
-CHAIN = 2
+CHAIN, THRESHOLD = 2, 0.8
+#: Hashes of the smaller set that are looked up before the bound is tried again.
+STEP_SIZE = 64
 
-PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long"
+PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, similar_edited boolean, similar_next boolean"
 STEP = PAIRS + ", pid int, kind string, text string"
 NAMES = [x.split()[0] for x in STEP.split(", ")]
-KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
+WIDTH = len(PAIRS.split(", "))
 
 
 def signatures(text: str, anchors: frozenset = ANCHORS, chain: int = CHAIN) -> set[bytes]:
@@ -54,27 +61,44 @@ def signatures(text: str, anchors: frozenset = ANCHORS, chain: int = CHAIN) -> s
     return out or {b"\0" + b" ".join(tokens)}
 
 
-def fingerprint(found: set[bytes]) -> str:
-    return hashlib.blake2b(b"\n".join(sorted(found)), digest_size=16).hexdigest()
+def hashes(found: set[bytes]) -> np.ndarray:
+    import xxhash
 
+    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64))
 
-def jaccard(a: set[bytes], b: set[bytes]) -> float:
-    common = len(a & b)
+
+def fingerprint(h: np.ndarray) -> str:
+    return h.astype(">u8").tobytes().hex()
+
+
+def of_fingerprint(digits: str) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(digits), ">u8").astype(np.uint64)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard measure of two sorted sets."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
 
-def similar(a: set[bytes], b: set[bytes], threshold: float) -> float | None:
-    """Jaccard if it reaches ``threshold``, else None; sizes first, then signature by signature while it can."""
+def partition(n: int, threshold: float) -> int:
+    """Sets at least ``threshold`` alike lie in the same partition by length or in neighbouring ones."""
+    return math.floor(math.log(n) / -math.log(threshold) + 1e-9)
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float | None:
+    """The likeness if it reaches ``threshold``, else None: partitions and lengths first, then stretches of the smaller set while it can."""
     if len(a) > len(b):
         a, b = b, a
-    if len(a) < threshold * len(b):
+    if partition(len(b), threshold) - partition(len(a), threshold) > 1 or len(a) < threshold * len(b):
         return None
     missing, most = 0, math.floor(len(a) - threshold / (1 + threshold) * (len(a) + len(b)) + 1e-9)
-    for s in a:
-        if s not in b:
-            missing += 1
-            if missing > most:
-                return None
+    for at in range(0, len(a), STEP_SIZE):
+        some = a[at : at + STEP_SIZE]
+        place = np.minimum(np.searchsorted(b, some), len(b) - 1)
+        missing += int((b[place] != some).sum())
+        if missing > most:
+            return None
     common = len(a) - missing
     return common / (len(a) + len(b) - common)
 
@@ -84,12 +108,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _row(doc, text: str, following: str, mine: set[bytes] | None = None, theirs: set[bytes] | None = None) -> tuple:
-    mine = mine or signatures(text)
-    theirs = theirs or signatures(following)
+def _row(doc, text: str, following: str, mine: np.ndarray | None = None, theirs: np.ndarray | None = None) -> tuple:
+    mine = hashes(signatures(text)) if mine is None else mine
+    theirs = hashes(signatures(following)) if theirs is None else theirs
     changed = edited(text, following)
-    new = signatures(changed)
-    return (doc, len(text), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), fingerprint(mine), fingerprint(new), jaccard(mine, new), jaccard(mine, theirs), len(mine))
+    new = hashes(signatures(changed))
+    digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
+    return (doc, len(text), digest, fingerprint(mine), fingerprint(new), likeness(mine, new), likeness(mine, theirs), len(mine), similar(mine, new) is not None, similar(mine, theirs) is not None)
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,15 +134,15 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sigs = signatures(text)
+                sigs = hashes(signatures(text))
                 if held is None:
-                    rows.append((doc, *[None] * 7, pid, "head", text))
+                    rows.append((doc, *[None] * (WIDTH - 1), pid, "head", text))
                 else:
                     rows.append((*_row(held[0], held[1], text, held[2], sigs), pid, "row", None))
                 held = (doc, text, sigs)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS)], names=NAMES)
         if held is not None:
-            last = (held[0], *[None] * 7, pid, "tail", held[1])
+            last = (held[0], *[None] * (WIDTH - 1), pid, "tail", held[1])
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(last, KINDS)], names=NAMES)
 
     step = keep(docs.repartitionByRange(n, order[0]).sortWithinPartitions(*order).mapInArrow(run, STEP), "spot-step")
@@ -129,25 +154,20 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_row(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(3)))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS[:8])], names=NAMES[:8])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS[:WIDTH])], names=NAMES[:WIDTH])
 
     ends = tails.join(heads, "next_pid").select("doc_id", "text", "following").mapInArrow(join, PAIRS)
-    return step.filter("kind = 'row'").select(*NAMES[:8]).unionByName(ends)
+    return step.filter("kind = 'row'").select(*NAMES[:WIDTH]).unionByName(ends)
 
 
 def signature_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint and the sorted 64-bit hashes of its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            prints, sets = [], []
-            for text in batch.column(1).to_pylist():
-                found = signatures(text or "")
-                prints.append(fingerprint(found))
-                sets.append(sorted(xxhash.xxh64_intdigest(s) - 2**63 for s in found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "fingerprint", "signatures"])
+            sets = [hashes(signatures(text or "")) for text in batch.column(1).to_pylist()]
+            prints = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in sets]  # a key of the set; the set is beside it
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "fingerprint", "signatures"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, signatures array<long>")
 
@@ -157,8 +177,15 @@ def similar_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
 
     Classes of equal signature sets are represented once.  The rarest signatures of each set are its
     prefix; classes meet where they share a prefix signature and lie in the same or the next partition by
-    set length, are kept once, and compared in full.
+    set length, are kept once, and compared by ``similar``.
     """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            near = [similar(np.array(x).view(np.uint64), np.array(y).view(np.uint64), threshold) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            rows = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near, pa.float64())], names=["class_a", "class_b", "jaccard"])
+            yield rows.filter(rows.column(2).is_valid())
+
     sets = keep(signature_sets(df, id_col, text_col), "spot-sets")
     members = sets.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.first("signatures").alias("signatures"))
     classes = keep(members, "spot-classes")
@@ -167,7 +194,7 @@ def similar_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     often = each.groupBy("s").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy("often", "s"))
     prefix = each.join(often, "s").withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)))
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9))
     mine = prefix.filter("often > 1").select("s", "fingerprint", "n", "r", part.alias("part"))
     theirs = mine.select("s", F.col("fingerprint").alias("other"), F.col("n").alias("m"), F.col("r").alias("q"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     overlap = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m"))
@@ -178,9 +205,7 @@ def similar_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     )
     full = classes.select("fingerprint", "class_id", "signatures")
     compared = pairs.join(full.toDF("a", "class_a", "set_a"), "a").join(full.toDF("b", "class_b", "set_b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    near = common / (F.size("set_a") + F.size("set_b") - common)
-    return compared.select("class_a", "class_b", near.alias("jaccard")).filter(F.col("jaccard") >= threshold), membership
+    return compared.select("class_a", "class_b", "set_a", "set_b").mapInArrow(compare, "class_a long, class_b long, jaccard double"), membership
 
 
 def query(spark, sf_dir: str) -> DataFrame:
