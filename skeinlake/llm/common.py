@@ -67,6 +67,14 @@ def digest_pair(*columns: Column) -> Column:
     return F.struct(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit("second"), *columns).alias("k"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def salt_of(column: Column, salts: int) -> Column:
     """The share, of ``salts``, that a row is dealt into."""
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")

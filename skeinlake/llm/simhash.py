@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.llm.common import discard, each_salt, keep, numbered, raw, read_table, salt_mask, salt_of, shuffle_partitions, slices
+from skeinlake.llm.common import discard, each_salt, free_name, keep, numbered, raw, read_table, salt_mask, salt_of, shuffle_partitions, slices
 from skeinlake.llm.components import components
-from skeinlake.llm.suffixes import free_name, mix
+from skeinlake.llm.suffixes import mix
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Unrelated fingerprints that a shard is to hold, about.

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.llm.common import discard, each_salt, keep, numbered, raw, read_table, salt_mask, salt_of, shuffle_partitions, slices
+from skeinlake.llm.common import discard, each_salt, free_name, keep, numbered, raw, read_table, salt_mask, salt_of, shuffle_partitions, slices
 
 WIDTH, WORDS_WIDTH = 400, 50
 #: Different stretches of one minimiser that are sorted in one task.
@@ -434,14 +434,6 @@ def remove(df: DataFrame, unit: str = "words", width: int | None = None, gram: i
     return joined.withColumn(text_col, cut_out(F.col(text_col), F.col(held))).select(*df.columns)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
 
