@@ -10,9 +10,11 @@ a range adds the counts of all batches and answers each in the order it asked; t
 batch again.  A word or pair goes to its range once a batch however often it occurs, so frequent ones do
 not weigh on a task, and what is shuffled is packed bytes rather than rows.
 
-Rows of the exchange are batches times ranges.  For them to stay few beside the tokens, ``batch`` and
-``span`` should grow as the root of the corpus, about sqrt(256 tokens) where that is above the default: a
-terabyte of text asks for some 6 million tokens a batch, 100 for 60 million on executors to match.
+Rows of the exchange are batches times ranges.  For them to stay few beside the tokens, a batch's tokens and
+a range's pairs both grow as the root of the corpus, sqrt(256 tokens) where that is above the least: a terabyte
+of text has some 6 million tokens a batch, and the rows are a 256th of the tokens at any size.  A task holds
+one batch or one range at a time, so beyond ``MOST`` tokens, which 12 TB of text reach, they stay at it and
+the rows grow faster than the tokens; raise it with the executors' memory.
 
 Words are lower-cased A-Z and cut at ASCII white space; one end token follows each text and counts as a
 token.  Words and pairs are told apart by 64-bit hashes.
@@ -27,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +44,10 @@ from skeinlake.llm.suffixes import mix
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 MAIN, WEIGHTS, OUT = 0, 1, 2  # uses of a document
 START, END = np.uint64(2), np.uint64(3)
-BATCH = 1_000_000  # tokens
-RANGE = 1_000_000  # distinct pairs that a range is to hold, about
-CONTEXT_BUCKETS = 24
+BATCH = 1_000_000  # tokens of a batch, and pairs that are asked of a range, at least
+MOST = 24_000_000  # and at most
+BYTES_A_TOKEN = 6  # for the first guess
+CONTEXT_BUCKETS = 48  # octaves of a context's frequency, 10 ** 14 and more
 #: EM reads the deleted fold as a histogram: a context bucket by quarter octaves of both estimates, with their means.
 CELLS_2, CELLS_1 = 160, 200
 ROUNDS = 100
@@ -100,9 +104,10 @@ def packed_batches(docs: DataFrame, most: int = BATCH) -> DataFrame:
             nonlocal number
             rows, number = held[part], number + 1
             words, tokens = np.unique(np.concatenate([h for _, h in rows]), return_inverse=True)
-            ids = np.array([-(1 << 63) if d is None else d for d, _ in rows], np.int64)
+            ids = np.array([0 if d is None else d for d, _ in rows], np.int64)
+            known_ids = np.array([d is not None for d, _ in rows], np.int64)
             sizes = np.array([len(h) for _, h in rows], np.uint32)
-            row = (number, part, len(rows), int(sizes.sum()), pack(ids), pack(sizes), pack_sorted(words), pack(tokens.reshape(-1).astype(np.uint32)))
+            row = (number, part, len(rows), int(sizes.sum()), pack(np.r_[ids, known_ids]), pack(sizes), pack_sorted(words), pack(tokens.reshape(-1).astype(np.uint32)))
             held[part], size[part] = [], 0
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[x.split()[0] for x in PACKED.split(", ")])
@@ -255,17 +260,19 @@ class Model:
     n_train: int
     vocabulary: int
     weights: np.ndarray
+    batches: int
 
     def meet(self, part: int | None = None) -> DataFrame:
-        return _meet(self.packed, self.answers, part)
+        return _meet(self.packed, self.answers, self.batches, part)
 
 
-def _meet(packed: DataFrame, answers: DataFrame, part: int | None = None) -> DataFrame:
+def _meet(packed: DataFrame, answers: DataFrame, batches: int, part: int | None = None) -> DataFrame:
     """Batches with their answers."""
     if part is not None:
         packed, answers = packed.filter(F.col("part") == part), answers.filter(F.col("part") == part)
-    lists = answers.groupBy("batch").agg(F.collect_list(F.struct("kind", "range", "total", "main")).alias("answers"))
-    return packed.join(lists, "batch").select("words", "tokens", "sizes", "docs", "part", "answers")
+    n = max(shuffle_partitions(packed.sparkSession), batches)  # a task a batch
+    lists = answers.repartition(n, "batch").groupBy("batch").agg(F.collect_list(F.struct("kind", "range", "total", "main")).alias("answers"))
+    return packed.repartition(n, "batch").join(lists, "batch").select("words", "tokens", "sizes", "docs", "part", "answers")
 
 
 def _counts(answers: list[dict], field: str) -> tuple[np.ndarray, np.ndarray]:
@@ -274,13 +281,22 @@ def _counts(answers: list[dict], field: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(words), np.concatenate(pairs)
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, span: int = RANGE) -> Model:
+def batch_tokens(tokens: int, least: int = BATCH, most: int = MOST) -> int:
+    """Tokens of a batch, and pairs asked of a range, for a corpus of so many."""
+    return max(least, min(most, isqrt(256 * tokens)))
+
+
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int | None = None) -> Model:
     """Pack and count the corpus, then learn the weights on the deleted fold."""
     spark = df.sparkSession
-    packed = keep(packed_batches(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), batch), "lm-packed")
-    size = packed.agg(F.sum("n_tokens").alias("all"), F.sum(F.when(F.col("part") != OUT, F.col("n_tokens"))).alias("train"), F.sum(F.when(F.col("part") == MAIN, F.col("n_tokens"))).alias("main")).first()
-    ranges = max(shuffle_partitions(spark), -(-(size["all"] or 0) // span))
-    answers = keep(answered(asked(packed, ranges)), "lm-answers")
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if batch is None:
+        guess = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))) / BYTES_A_TOKEN + F.count("*")).first()[0]
+        batch = batch_tokens(int(guess or 0))
+    packed = keep(packed_batches(docs, batch), "lm-packed")
+    size = packed.agg(F.sum("n_tokens").alias("all"), F.sum(F.when(F.col("part") != OUT, F.col("n_tokens"))).alias("train"), F.sum(F.when(F.col("part") == MAIN, F.col("n_tokens"))).alias("main"), F.count("*").alias("n")).first()
+    ranges = max(shuffle_partitions(spark), -(-(size["all"] or 0) // batch))
+    answers = keep(answered(asked(packed, ranges).repartition(ranges, "range")), "lm-answers")  # a task a range, however many
     vocabulary = answers.agg(F.sum("vocabulary")).first()[0] or 0
     n_main, p0 = float(size["main"] or 0), 1.0 / (vocabulary + 1)
 
@@ -293,10 +309,10 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch:
                 sums = [np.bincount(place, weights=x, minlength=len(cell)) for x in (np.ones_like(p2), p2, p1)]
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *map(pa.array, sums)], names=["cell", "n", "p2", "p1"])
 
-    table = _meet(packed, answers, WEIGHTS).mapInArrow(cells, "cell long, n double, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()
+    table = _meet(packed, answers, size["n"], WEIGHTS).mapInArrow(cells, "cell long, n double, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()
     cell, n, p2, p1 = (np.array([r[c] for r in table]) for c in ("cell", "n", "p2", "p1"))
     weights = fit(cell // (CELLS_1 * CELLS_2), p2 / n, p1 / n, p0, n) if len(table) else fit(*(np.zeros(0) for _ in range(3)), p0, np.zeros(0))
-    return Model(packed, answers, int(size["train"] or 0), vocabulary, weights)
+    return Model(packed, answers, int(size["train"] or 0), vocabulary, weights, size["n"])
 
 
 def score(model: Model) -> DataFrame:
@@ -310,9 +326,9 @@ def score(model: Model) -> DataFrame:
                 bucket, p2, p1, count = estimates(b, *_counts(answers, "total"), float(n_train))
                 p = weights[bucket, 0] / (vocabulary + 1) + weights[bucket, 1] * p1 + weights[bucket, 2] * p2
                 base = np.log10((count + 1) / (n_train + vocabulary + 1))
-                ids = unpack(docs, np.int64)
+                ids, known_ids = unpack(docs, np.int64).reshape(2, -1)
                 out = [
-                    pa.array(ids, mask=ids == -(1 << 63)),
+                    pa.array(ids, mask=known_ids == 0),
                     pa.array(np.full(len(ids), part == OUT)),
                     pa.array(b.sizes),
                     pa.array(np.add.reduceat((count > 0).astype(np.int64), b.starts)),
