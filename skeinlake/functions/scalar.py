@@ -1,6 +1,8 @@
 """Scalar functions, as Column helpers and as SQL functions that Catalyst inlines.
 
 Defaults follow standard SQL: integer division truncates and gives NULL on zero, NULL in gives NULL out.
+A SQL function has one type; ``sq``, ``nmin``, ``nmax`` and ``mod`` take whole numbers and others, so a session writes them
+out as expressions (``skeinlake.plans.rewrite``) and the functions here serve plain ``spark.sql``.
 """
 
 from __future__ import annotations

@@ -5,12 +5,15 @@
 ``random_start``  a contiguous run from a seeded start, wrapping once at the end
 ``outlier``       rows within mean ± sigma deviations, then ``random``
 ``all``           every row
+
+Tables with fewer than ``SMALL`` rows are read whole in every mode, so that joins with them lose nothing.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,17 +48,38 @@ class SamplePlan:
         return min(1.0, self.rate * self.round)
 
 
-def bucket(seed: int, *key: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(BUCKETS))
+# Odd multipliers of the mixing below, under 2 ** 32 and under 2 ** 31 so that products of 32-bit numbers fit a long.
+MULTIPLIERS = (2654435761, 1597334677)
+
+
+def spread(row: Column, seed: int) -> Column:
+    """32 well-mixed bits of a row position and a seed, in whole-number arithmetic that any engine has."""
+    x = ((row + F.lit(seed * 7919)) % F.lit(1 << 31)) * F.lit(MULTIPLIERS[0]) % F.lit(1 << 32)
+    x = x.bitwiseXOR(F.shiftright(x, 15))
+    x = x % F.lit(1 << 32) * F.lit(MULTIPLIERS[1]) % F.lit(1 << 32)
+    return x.bitwiseXOR(F.shiftright(x, 13))
+
+
+def spread_sql(row: str, seed: int) -> str:
+    """``spread`` as SQL text of bigint arithmetic."""
+    x = f"((({row} + {seed * 7919}) % {1 << 31}) * {MULTIPLIERS[0]} % {1 << 32})"
+    x = f"(xor({x}, {x} >> 15) * {MULTIPLIERS[1]} % {1 << 32})"
+    return f"xor({x}, {x} >> 13)"
+
+
+def position(df: DataFrame) -> Column:
+    """A number for each row of a file table: its place in the file, moved by a hash of the name where there are several files."""
+    row = F.col("_metadata.row_index")
+    return row if len(df.inputFiles()) < 2 else row + F.crc32(F.col("_metadata.file_path").cast("binary")) * F.lit(65_537)
 
 
-def _positions(df: DataFrame) -> DataFrame:
-    return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+def bucket(df: DataFrame, seed: int) -> Column:
+    return spread(position(df), seed) % F.lit(BUCKETS)
 
 
 def file_counts(df: DataFrame) -> list[tuple[str, int]]:
-    """Rows of each file in path order, from row positions alone; one entry a file."""
-    rows = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).groupBy("f").agg((F.max("r") + 1).alias("n")).collect()
+    """Rows of each file in path order; no column is read, the counts come from the files' footers."""
+    rows = df.select(F.col("_metadata.file_path").alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect()
     return sorted((r["f"], r["n"]) for r in rows)
 
 
@@ -77,21 +101,29 @@ def _range(counts: list[tuple[str, int]], start: int, stop: int) -> Column:
 
 def sample(df: DataFrame, plan: SamplePlan, stats: TableStats | None = None, n_rows: int | None = None) -> DataFrame:
     """The rows of rounds 1 … ``plan.round`` of a file table (one read by ``spark.read``)."""
-    if plan.mode == "all" or plan.share >= 1:
-        return df if plan.mode != "outlier" else within_sigma(df, stats or collect_stats(df), plan.sigma)
+    return between(df, plan, 0, plan.round, stats, n_rows)
+
+
+def between(df: DataFrame, plan: SamplePlan, done: int, upto: int, stats: TableStats | None = None, n_rows: int | None = None) -> DataFrame:
+    """The rows that rounds ``done`` + 1 … ``upto`` add to those before; all of a small table in the first."""
+    if plan.mode == "all":
+        return df
+    total = df.count() if n_rows is None else n_rows  # from Parquet footers
+    if total < SMALL:
+        return df if not done else df.limit(0)
+    low, high = min(1.0, plan.rate * done), min(1.0, plan.rate * upto)
     if plan.mode in ("random", "outlier"):
-        picked = _positions(df).filter(bucket(plan.seed, F.col("__file"), F.col("__row")) < int(plan.share * BUCKETS)).drop("__file", "__row")
+        at = bucket(df, plan.seed)
+        picked = df if not done and high >= 1 else df.filter((at >= int(low * BUCKETS)) & (at < int(high * BUCKETS)))
         return picked if plan.mode == "random" else within_sigma(picked, stats or collect_stats(df), plan.sigma)
-    counts = file_counts(df)
-    total = sum(n for _, n in counts) if n_rows is None else n_rows
-    if total < SMALL:
+    if not done and high >= 1:
         return df
-    k = -(-int(total * plan.share * 1_000_000) // 1_000_000)
+    reached = [-(-int(total * share * 1_000_000) // 1_000_000) for share in (low, high)]
     start = zlib.crc32(str(plan.seed).encode()) % total if plan.mode == "random_start" else 0
-    ranges = _range(counts, start, min(start + k, total))
-    if start + k > total:
-        ranges = ranges | _range(counts, 0, start + k - total)
-    return df.filter(ranges)
+    first, last = start + reached[0], start + reached[1]
+    counts = file_counts(df)
+    pieces = [(first, min(last, total)), (max(0, first - total), last - total)]
+    return df.filter(reduce(lambda a, b: a | b, [_range(counts, a, b) for a, b in pieces if a < b], F.lit(False)))
 
 
 def sample_by_key(df: DataFrame, key: Column, plan: SamplePlan, buckets: int = 100) -> DataFrame:
@@ -106,7 +138,8 @@ def contiguous_by_order(df: DataFrame, order: list[str], start: int, k: int) ->
 
 def fixed_size(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """``k`` rows picked uniformly: top ``k`` by a seeded hash of position."""
-    return _positions(df).orderBy(F.xxhash64(F.lit(seed), "__file", "__row")).limit(k).drop("__file", "__row")
+    at = position(df)
+    return df.select("*", spread(at, seed).alias("__at"), at.alias("__row")).orderBy("__at", "__row").limit(k).drop("__at", "__row")
 
 
 def stratified(df: DataFrame, column: str, fractions: dict, seed: int = 42) -> DataFrame:

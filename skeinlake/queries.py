@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlake.functions import scalar
-from skeinlake.operators.approx import SampledRelation, mean_percent_error
-from skeinlake.operators.sampling import SamplePlan, contiguous_by_order, sample_by_key
-from skeinlake.operators.stats import TableStats, collect_stats, stats_table, within_sigma
+from skeinlake.operators.approx import SampledRelation, mean_percent_error, trial_means
+from skeinlake.operators.sampling import BUCKETS, SamplePlan, between, contiguous_by_order, file_counts, fixed_size, sample, sample_by_key, spread_sql
+from skeinlake.operators.stats import TableStats, collect_stats, load_stats, save_stats, stats_table, within_sigma
 from skeinlake.plans.session import Engine
-from skeinlake.sources.catalog import SnapshotStore, rows
+from skeinlake.sources import output
+from skeinlake.sources.catalog import SnapshotStore, column_tables, error_kind, format_line, import_delimited, parse, read_delimited, rows
+from skeinlake.sources.shared import fresh
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Queries whose text both engines read alike.
+#: Queries whose text both engines read alike.  The first six are the benchmark's questions, adapted; their column names are fixed values.
 SHARED: dict[str, str] = {
     "tq1_avg_by_flag_status": """SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price,
         round(avg(l_discount), 6) AS avg_disc FROM lineitem GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
@@ -133,9 +134,8 @@ def values_rows(spark, sf_dir):
 
 
 def _store(spark: SparkSession) -> SnapshotStore:
-    """A store in the session's shared folder; a temporary one only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skeinlake-")
-    return SnapshotStore(spark, f"{folder.rstrip('/')}/changes-{uuid.uuid4().hex}")
+    """A store in the session's shared folder."""
+    return SnapshotStore(spark, fresh(spark, "changes"))
 
 
 def insert_values(spark, sf_dir):
@@ -273,3 +273,250 @@ for _name, (_wanted, _text) in APPROX.items():
     QUERIES[f"{_name}_grouped"] = _approx(("l_returnflag",), **_wanted)
     ORACLE_SQL[_name] = f"{SAMPLED_SQL} SELECT {_text} FROM x, f"
     ORACLE_SQL[f"{_name}_grouped"] = f"{SAMPLED_SQL} SELECT l_returnflag, {_text} FROM x, f GROUP BY l_returnflag"
+
+
+# What has no SQL of its own in the session: sources, the real sampling modes, session estimates, changes, errors.
+
+LINEITEM_COLUMNS = ["l_orderkey", "l_linenumber", "l_quantity"]
+#: Rows of lineitem with their place in the file, for the oracle.
+PLACED = "(SELECT *, row_number() OVER () - 1 AS place, count(*) OVER () AS total FROM lineitem)"
+NATION = "nation (n_nationkey int, n_name string, n_regionkey int)"
+
+
+def _nation_text(spark, sf_dir, tail: str = "") -> str:
+    """The nations as delimited text in a folder of the shared one."""
+    folder = fresh(spark, "text")
+    lines = _t(spark, sf_dir, "nation").select(F.concat(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), F.lit(tail)))
+    lines.write.text(f"{folder}/nation.tbl")
+    return folder
+
+
+def delimited_read(spark, sf_dir):
+    return read_delimited(spark, f"{_nation_text(spark, sf_dir)}/nation.tbl", parse(NATION)["nation"])
+
+
+def delimited_field_sum(spark, sf_dir):
+    return delimited_read(spark, sf_dir).agg(F.sum("n_regionkey").alias("total"))
+
+
+def catalog_import(spark, sf_dir):
+    folder = _nation_text(spark, sf_dir, "|")
+    return import_delimited(spark, NATION, folder, target=f"{folder}/db")["nation"]
+
+
+def catalog_load_with_mode(spark, sf_dir):
+    """Tables under a sample's least size stay whole in a sampling mode."""
+    engine = Engine.open(spark, sf_dir, ["region"])
+    engine.load_catalog(NATION, _nation_text(spark, sf_dir, "|"), mode="random")
+    return engine.sql("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+
+def append_load(spark, sf_dir):
+    engine = Engine.open(spark, sf_dir, [])
+    engine.sql("CREATE TABLE places (n_nationkey int, n_name varchar(25), n_regionkey int)")
+    engine.sql("INSERT INTO places VALUES (100, 'first', 7)")
+    engine.load("places", f"{_nation_text(spark, sf_dir)}/nation.tbl")
+    return engine.sql("SELECT * FROM places")
+
+
+def write_and_read(spark, sf_dir):
+    out = fresh(spark, "written")
+    output.write(_t(spark, sf_dir, "nation"), f"{out}/p")
+    output.write(_t(spark, sf_dir, "nation"), f"{out}/c", "csv")
+    text = spark.read.option("sep", "|").option("header", True).csv(f"{out}/c").agg(F.count("*").alias("n"), F.max("n_name").alias("last"))
+    return text.withColumn("n_parquet", F.lit(spark.read.parquet(f"{out}/p").count()).cast("long"))
+
+
+def rendered_lines(spark, sf_dir):
+    lines = output.render(_t(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"), aligned=False).splitlines()
+    return rows(spark, [(i, x) for i, x in enumerate(lines)], "place long, line string")
+
+
+def _mode(mode: str, done: int, upto: int, rate: float = 0.01) -> Query:
+    def run(spark, sf_dir):
+        df = _t(spark, sf_dir, "lineitem")
+        return between(df, SamplePlan(mode, rate), done, upto).select(*LINEITEM_COLUMNS)
+
+    return run
+
+
+def _bucket_sql(low: int, high: int) -> str:
+    return f"{spread_sql('place', 42)} % {BUCKETS} >= {low} AND {spread_sql('place', 42)} % {BUCKETS} < {high}"
+
+
+def outlier_sample(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem").select(*LINEITEM_COLUMNS, "l_extendedprice")
+    stats = collect_stats(df, ["l_quantity", "l_extendedprice"])
+    return sample(df, SamplePlan("outlier", 0.02, 1, sigma=1.0), stats).select(*LINEITEM_COLUMNS)
+
+
+def sample_fixed_size(spark, sf_dir):
+    return fixed_size(_t(spark, sf_dir, "lineitem"), 500).select(*LINEITEM_COLUMNS)
+
+
+def _later(columns: list[str], stats: TableStats, spark) -> DataFrame:
+    return rows(spark, [(c, stats.columns[c].n, round(stats.columns[c].mean, 4), round(stats.columns[c].std, 4)) for c in columns], "column_name string, n long, mean double, std double")
+
+
+def statistics_over_rounds(spark, sf_dir):
+    """Merged over three rounds of a session, kept beside the table and read again."""
+    engine = Engine.open(spark, sf_dir, ["lineitem"], mode="random")
+    for _ in range(3):
+        engine.advance("lineitem")
+        engine.statistics("lineitem")
+    path = fresh(spark, "statistics")
+    engine.save_statistics("lineitem", path)
+    kept = engine.load_statistics(path)
+    return _later(["l_quantity", "l_extendedprice", "l_linenumber"], kept, spark)
+
+
+def statistics_sidecar(spark, sf_dir):
+    path = fresh(spark, "statistics")
+    save_stats(spark, collect_stats(_t(spark, sf_dir, "orders"), ["o_totalprice"]), path)
+    return _later(["o_totalprice"], load_stats(spark, path), spark)
+
+
+def row_count_estimate(spark, sf_dir):
+    return rows(spark, [(sum(n for _, n in file_counts(_t(spark, sf_dir, "lineitem"))),)], "n long")
+
+
+def _estimates(mode: str, rounds: int, text: str) -> Query:
+    def run(spark, sf_dir):
+        engine = Engine.open(spark, sf_dir, ["lineitem"], mode=mode)
+        for _ in range(rounds - 1):
+            engine.advance("lineitem")
+        return engine.sql(text)
+
+    return run
+
+
+ESTIMATED = """SELECT l_returnflag, count(*) AS n, count(*) + 1 AS m, round(sum(l_quantity * 2), 4) AS qty, sum(l_linenumber) AS lines, round(avg(l_quantity), 6) AS mean,
+    round(max(l_quantity), 4) AS hi, round(min(l_quantity), 4) AS lo, max(l_linestatus) AS status FROM lineitem GROUP BY l_returnflag"""
+
+
+def _estimates_sql(keep: str) -> str:
+    return f"""WITH x AS (SELECT * FROM {PLACED} WHERE {keep}), f AS (SELECT (SELECT count(*) FROM lineitem) * 1.0::DOUBLE / count(*) AS k, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM x)
+        SELECT l_returnflag, CAST(floor(count(*) * any_value(k)) AS BIGINT) AS n, CAST(floor(count(*) * any_value(k)) AS BIGINT) + 1 AS m, round(sum(l_quantity * 2) * any_value(k), 4) AS qty,
+        CAST(floor(sum(l_linenumber) * any_value(k)) AS BIGINT) AS lines, round(avg(l_quantity), 6) AS mean, round(greatest(max(l_quantity), any_value(f.m) + 3 * any_value(f.s)), 4) AS hi,
+        round(least(min(l_quantity), any_value(f.m) - 3 * any_value(f.s)), 4) AS lo, max(l_linestatus) AS status FROM x, f GROUP BY l_returnflag"""
+
+
+def estimates_mean_of_trials(spark, sf_dir):
+    runs = []
+    for seed in (1, 2, 3):
+        engine = Engine.open(spark, sf_dir, ["lineitem"], mode="random", seed=seed)
+        runs.append(engine.sql("SELECT l_returnflag, avg(l_quantity) AS v FROM lineitem GROUP BY l_returnflag"))
+    return trial_means(runs, ["l_returnflag"], "v").select("l_returnflag", F.round("v", 6).alias("v"), "n_trials")
+
+
+def estimates_star_join(spark, sf_dir):
+    """A sampled table with tables that are small and therefore whole."""
+    engine = Engine.open(spark, sf_dir, ["nation", "region"], mode="random")
+    return engine.sql("SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+
+
+def random_functions(spark, sf_dir):
+    return Engine.open(spark, sf_dir, ["nation"]).sql("SELECT n_nationkey, randint() >= 0 AS whole, randfloat(2, 3) >= 2 AND randfloat(2, 3) < 3 AS part, abs(epoch() - unix_timestamp()) < 60 AS now FROM nation")
+
+
+def function_list(spark, sf_dir):
+    return rows(spark, [(x.split("(")[0],) for x in scalar.signatures()], "name string")
+
+
+def numbers_beyond_doubles(spark, sf_dir):
+    return Engine.open(spark, sf_dir, ["nation"]).sql("SELECT n_nationkey, nmin(n_nationkey + 9007199254740993, 9007199254740997) AS lo, nmax(n_nationkey + 9007199254740993, 9007199254740997) AS hi, sq(n_nationkey) AS square, mod(n_nationkey, 0) AS nothing FROM nation")
+
+
+def changes_in_a_transaction(spark, sf_dir):
+    """Created, filled and changed in SQL; what was rolled back is undone, the schema too."""
+    engine = Engine.open(spark, sf_dir, ["nation"])
+    for text in (
+        "CREATE TABLE places (name varchar(25), region int)", "INSERT INTO places SELECT n_name, n_regionkey FROM nation", "BEGIN", "DELETE FROM places WHERE region = 1", "COMMIT",
+        "BEGIN", "DROP TABLE places", "CREATE TABLE places (other float)", "ROLLBACK", "INSERT INTO places VALUES ('new', 9), ('more', NULL)", "DELETE FROM places WHERE region > 3 AND region < 9",
+    ):
+        engine.sql(text)
+    return engine.sql("SELECT name, region FROM places")
+
+
+def transaction_numbers(spark, sf_dir):
+    engine = Engine.open(spark, sf_dir, [])
+    said = [engine.sql(x).first() for x in ("BEGIN", "COMMIT", "BEGIN", "ROLLBACK", "START TRANSACTION", "COMMIT")]
+    return rows(spark, [(i, r.done, r.transaction) for i, r in enumerate(said)], "place long, done string, transaction long")
+
+
+def catalog_text(spark, sf_dir):
+    """The folder's tables as catalog text, read back, with the tables that have a column named like a key."""
+    engine = Engine.open(spark, sf_dir, ["region", "nation"])
+    schemas = parse(engine.describe())
+    return rows(spark, [(format_line(name, schema), ",".join(column_tables(schemas, schema.names[0]))) for name, schema in schemas.items()], "line string, first_column_in string")
+
+
+def error_kinds(spark, sf_dir):
+    engine = Engine.open(spark, sf_dir, ["nation"])
+    out = []
+    for text in ("SELECT * FROM nowhere", "SELECT * FRM nation", "SELECT n_name FROM nation a JOIN nation b ON a.n_name = b.n_name", "COMMIT", "DROP TABLE nowhere", "CREATE TABLE nation (a int)", "INSERT INTO nation VALUES (1)"):
+        try:
+            engine.sql(text).count()
+        except Exception as e:  # the kinds are the result
+            out.append((text, error_kind(e)))
+    return rows(spark, out, "statement string, kind string")
+
+
+def explained(spark, sf_dir):
+    text = Engine.open(spark, sf_dir, ["orders"]).explain("SELECT o_orderkey FROM orders WHERE o_custkey > 10")
+    return rows(spark, [("Scan parquet" in text, "GreaterThan(o_custkey,10)" in text, "o_comment" not in text.split("ReadSchema")[1].split("\n")[0])], "scan boolean, pushed boolean, pruned boolean")
+
+
+_START = f"({zlib.crc32(b'42')} % total)"
+_REACH = lambda share: f"CAST(-((-CAST(floor(total * {share!r}::DOUBLE * 1000000) AS BIGINT)) // 1000000) AS BIGINT)"
+_PICK = f"SELECT {', '.join(LINEITEM_COLUMNS)} FROM {PLACED}"
+_NATION_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
+MORE: dict[str, tuple[Query, str]] = {
+    "delimited_read": (delimited_read, _NATION_SQL),
+    "delimited_field_sum": (delimited_field_sum, "SELECT CAST(sum(n_regionkey) AS BIGINT) AS total FROM nation"),
+    "catalog_import": (catalog_import, _NATION_SQL),
+    "catalog_load_with_mode": (catalog_load_with_mode, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "append_load": (append_load, f"{_NATION_SQL} UNION ALL SELECT 100, 'first', 7"),
+    "write_and_read": (write_and_read, "SELECT count(*) AS n, max(n_name) AS last, count(*) AS n_parquet FROM nation"),
+    "rendered_lines": (rendered_lines, "SELECT 0 AS place, 'r_regionkey,r_name' AS line UNION ALL SELECT row_number() OVER (ORDER BY r_regionkey), r_regionkey || ',' || r_name FROM region"),
+    "sample_mode_all": (_mode("all", 0, 1), f"SELECT {', '.join(LINEITEM_COLUMNS)} FROM lineitem"),
+    "sample_mode_random": (_mode("random", 0, 1), f"{_PICK} WHERE {_bucket_sql(0, 100)}"),
+    "sample_mode_random_later_round": (_mode("random", 4, 5), f"{_PICK} WHERE {_bucket_sql(400, 500)}"),
+    "sample_mode_contiguous": (_mode("contiguous", 0, 3), f"{_PICK} WHERE place < {_REACH(0.03)}"),
+    "sample_mode_contiguous_later_round": (_mode("contiguous", 3, 4), f"{_PICK} WHERE place >= {_REACH(0.03)} AND place < {_REACH(0.04)}"),
+    "sample_mode_random_start": (_mode("random_start", 0, 90), f"{_PICK} WHERE (place - {_START} + total) % total < {_REACH(0.9)}"),
+    "sample_mode_random_start_later_round": (_mode("random_start", 89, 90), f"{_PICK} WHERE (place - {_START} + total) % total >= {_REACH(0.89)} AND (place - {_START} + total) % total < {_REACH(0.9)}"),
+    "sample_mode_outlier": (outlier_sample, f"WITH s AS (SELECT avg(l_quantity) mq, stddev_pop(l_quantity) sq, avg(l_extendedprice) mp, stddev_pop(l_extendedprice) sp FROM lineitem) {_PICK}, s WHERE abs(l_quantity - mq) <= sq AND abs(l_extendedprice - mp) <= sp AND {_bucket_sql(0, 200)}"),
+    "sample_fixed_size": (sample_fixed_size, f"SELECT {', '.join(LINEITEM_COLUMNS)} FROM (SELECT *, row_number() OVER (ORDER BY {spread_sql('place', 42)}, place) AS nth FROM {PLACED}) WHERE nth <= 500"),
+    "statistics_over_rounds": (
+        statistics_over_rounds,
+        " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std FROM {PLACED} WHERE {_bucket_sql(0, 300)}" for c in ["l_quantity", "l_extendedprice", "l_linenumber"]),
+    ),
+    "statistics_sidecar": (statistics_sidecar, "SELECT 'o_totalprice' AS column_name, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std FROM orders"),
+    "row_count_estimate": (row_count_estimate, "SELECT count(*) AS n FROM lineitem"),
+    "estimates_random": (_estimates("random", 1, ESTIMATED), _estimates_sql(_bucket_sql(0, 100))),
+    "estimates_random_round_5": (_estimates("random", 5, ESTIMATED), _estimates_sql(_bucket_sql(0, 500))),
+    "estimates_contiguous": (_estimates("contiguous", 2, ESTIMATED), _estimates_sql(f"place < {_REACH(0.02)}")),
+    "estimates_mean_of_trials": (
+        estimates_mean_of_trials,
+        "WITH r AS (" + " UNION ALL ".join(f"SELECT l_returnflag, avg(l_quantity) AS v FROM {PLACED} WHERE {spread_sql('place', seed)} % {BUCKETS} < 100 GROUP BY l_returnflag" for seed in (1, 2, 3)) + ") SELECT l_returnflag, round(avg(v), 6) AS v, count(*) AS n_trials FROM r GROUP BY l_returnflag",
+    ),
+    "estimates_star_join": (estimates_star_join, "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
+    "random_functions": (random_functions, "SELECT n_nationkey, true AS whole, true AS part, true AS now FROM nation"),
+    "function_list": (function_list, "SELECT unnest(['" + "', '".join(sorted(scalar.SQL_FUNCTIONS)) + "']) AS name"),
+    "numbers_beyond_doubles": (
+        numbers_beyond_doubles,
+        "SELECT n_nationkey, least(n_nationkey + 9007199254740993, 9007199254740997) AS lo, greatest(n_nationkey + 9007199254740993, 9007199254740997) AS hi, n_nationkey * n_nationkey AS square, NULL::INTEGER AS nothing FROM nation",
+    ),
+    "paren_table_list": (_sql("SELECT n_name, r_name FROM (nation, region) WHERE n_regionkey = r_regionkey"), "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey"),
+    "changes_in_a_transaction": (changes_in_a_transaction, "SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation WHERE n_regionkey <> 1 AND NOT (n_regionkey > 3 AND n_regionkey < 9) UNION ALL VALUES ('new', 9), ('more', NULL)"),
+    "transaction_numbers": (transaction_numbers, "SELECT * FROM (VALUES (0, 'begin', 1), (1, 'commit', 1), (2, 'begin', 2), (3, 'rollback', 2), (4, 'begin', 3), (5, 'commit', 3)) v(place, done, transaction)"),
+    "catalog_text": (catalog_text, "SELECT * FROM (VALUES ('nation (n_nationkey int, n_name string, n_regionkey int)', 'nation'), ('region (r_regionkey int, r_name string)', 'region')) v(line, first_column_in)"),
+    "error_kinds": (
+        error_kinds,
+        "SELECT * FROM (VALUES ('SELECT * FROM nowhere', 'NoSuchTableError'), ('SELECT * FRM nation', 'ParseError'), ('SELECT n_name FROM nation a JOIN nation b ON a.n_name = b.n_name', 'AmbiguousNameError'), ('COMMIT', 'IllegalTransactionError'), ('DROP TABLE nowhere', 'NoSuchTableError'), ('CREATE TABLE nation (a int)', 'DuplicateTableError'), ('INSERT INTO nation VALUES (1)', 'TypeMismatchError')) v(statement, kind)",
+    ),
+    "explained": (explained, "SELECT true AS scan, true AS pushed, true AS pruned"),
+}
+QUERIES |= {name: query for name, (query, _) in MORE.items()}
+ORACLE_SQL |= {name: text for name, (_, text) in MORE.items()}

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from skeinlake.functions import scalar
 from skeinlake.operators import approx, sampling, stats
-from skeinlake.plans.session import Engine, eligibility, named_tables
+from skeinlake.plans import rewrite
+from skeinlake.plans.session import Engine, trials
 from skeinlake.sources import catalog, output
 from skeinlake.streaming import progressive
 
+# Twelve rows, and queries on them with the rows that they must give.
 PEOPLE = [("sam", 25), ("kathy", 45), ("bill", 30), ("ang", 22), ("joe", 40), ("mark", 50), ("sarah", 60), ("riza", 43), ("bo", 99), ("pat", 38), ("sam", 99), ("riza", 22)]
 
 
@@ -165,14 +167,83 @@ def test_progressive_session(spark, files, mode, most):
     assert spark.table("numbers").count() == 20_000 and "numbers (id int" in engine.describe()
 
 
-def test_eligibility(engine):
-    spark = engine.spark
-    tables = {"t", "t2"}
-    assert eligibility(spark.sql("select max(age) as a from (select age from t) x"), tables).outputs == {"a": ("max", "age")}
-    assert eligibility(spark.sql("select count(*) as n from t where age > 3"), tables) is None
-    assert eligibility(spark.sql("select count(*) as n from t join t2 on t.age = t2.age"), tables) is None
-    assert {"t", "t2"} <= named_tables(spark.sql("select * from t where age in (select age from t2)"))
-    assert "Scan parquet" in engine.explain("select age from t where age > 3")
+def test_rewriting():
+    asked = []
+
+    def estimate(block):
+        asked.append((block.table, block.calls))
+        return {c: f"E({c})" for c in block.calls}
+
+    run = lambda text, **kw: rewrite.Rewriter({"t", "t2"}, estimate, **kw).run(text)
+    assert run("select max(age) as a, count( * )+0 from t x group by b having sum(age) > 3") == "select E(max(age)) as a, E(count( * ))+0 from t x group by b having E(sum(age)) > 3"
+    for same in ("select count(*) from t where age > 3", "select count(*) from t join t2 on t.age = t2.age", "select count(*) from t, t2", "select count(distinct age), sum(age) over () from t", "select 'count(*) from t' from other", "select age from t -- count(*)\n"):
+        assert run(same) == same.split("--")[0].rstrip(" ") + (" \n" if "--" in same else "")
+    assert run("select count(*) from t where age > 3", scale_filters=True) == "select E(count(*)) from t where age > 3"
+    assert run("select max(n) from (select a, count(*) n from t group by a) x union all select sum(b) from t2") == "select max(n) from (select a, E(count(*)) n from t group by a) x union all select E(sum(b)) from t2"
+    assert rewrite.dialect("select nmin(a, nmax(b, 2)), sq(a + 1), mod(a, 0), ')' from (t, t2) where x in (select y from (select 1 y))") == "select least(a, greatest(b, 2)), ((a + 1) * (a + 1)), try_mod(a, 0), ')' from  t, t2  where x in (select y from (select 1 y))"
+
+
+def test_small_tables_join_in_every_mode(spark, sf_dir):
+    for mode in ("random", "contiguous", "random_start", "outlier"):
+        engine = Engine.open(spark, sf_dir, ["nation", "region"], mode=mode)
+        assert engine.answer("select count(*) as n from nation")[0].n == 25
+        assert engine.answer("select count(*) as n from nation join region on n_regionkey = r_regionkey")[0].n == 25
+
+
+def test_estimates_inside_expressions_agree(spark, files):
+    for mode in ("random", "contiguous", "random_start", "outlier"):
+        engine = Engine.open(spark, files, ["numbers"], mode=mode, rate=0.05)
+        row = engine.answer("select sum(id) as s, sum(id * 2) as d, round(sum(v), 9) as r, sum(v) as v, count(*) as n, count(*) + 0 as m, avg(v) as a, max(id) - min(id) as w from numbers")[0]
+        assert abs(row.d - 2 * row.s) <= 2 and row.r == pytest.approx(row.v) and row.n == row.m == 20_000 and (row.w > 20_000 or mode in ("contiguous", "random_start"))
+        assert engine.estimated == {"s": True, "d": True, "r": True, "v": True, "n": True, "m": True, "a": False, "w": True}
+        inner = engine.answer("select max(n) as most, count(*) as g from (select g, count(*) as n from numbers group by g) x")[0]
+        assert 2_000 < inner.most < 4_500 and inner.g == 7
+        engine.answer("select max(v) from numbers")
+        assert engine.statistics("numbers").n == engine.samples["numbers"].rows and engine.statistics("numbers").n_hat == 20_000
+        whole = stats.collect_stats(spark.table("numbers"))
+        assert engine.statistics("numbers").columns["id"].std == pytest.approx(whole.columns["id"].std)
+
+
+def test_trials(spark, files):
+    out = trials(spark, files, "numbers", "select g, avg(id) as v from numbers group by g", ["g"], "v", ["random", "contiguous"], [1, 2], rounds=2).collect()
+    assert len(out) == 8 and all(r.n_groups == 7 and r.seconds > 0 for r in out) and {r["round"] for r in out} == {1, 2}
+    assert max(r.mape for r in out if r.mode == "random") < 25 < min(r.mape for r in out if r.mode == "contiguous")
+
+
+def test_changes_in_sql(spark, files, tmp_path):
+    e = Engine.open(spark, files, ["numbers"])
+    e.sql("CREATE TABLE people (name varchar(20), age int)")
+    assert e.sql("INSERT INTO people VALUES ('sam', 25), ('george jones', 999);").first()["count"] == 2
+    assert e.sql("begin").first().transaction == 1
+    e.sql("insert into people select 'number', id from numbers where id < 3")
+    assert e.sql("delete from people where age > 500").first()["count"] == 1 and e.answer("select count(*) as n from people")[0].n == 4
+    e.sql("drop table people")
+    e.sql("create table people (other float)")
+    e.sql("rollback")
+    assert sorted(map(tuple, e.answer("select * from people"))) == [("george jones", 999), ("sam", 25)]
+    assert e.sql("start transaction").first().transaction == 2
+    e.sql("delete from numbers where id >= 5")
+    e.sql("commit")
+    assert e.answer("select count(*) as n from numbers")[0].n == 5 and spark.read.parquet(f"{files}/numbers.parquet").count() == 20_000
+    (tmp_path / "more.csv").write_text("name, age\ntim, 10\n")
+    assert e.command(f"\\l people {tmp_path / 'more.csv'} , true") == "1 rows\n" and "tim" in e.command("\\a select * from people") and "people (name string, age int)" in e.command("\\d")
+    assert "sq(" in e.command("\\f") and e.command("\\t select 1 as one").splitlines()[1] == "1"
+    kinds = []
+    for bad in ("commit", "create table people (a int)", "drop table nothing", "delete from people when", "insert into people values (1)", "create table x (a blob)", "select * from nothing", "select * frm people", "select age from people a join people b on a.age = b.age"):
+        with pytest.raises(Exception) as caught:
+            e.sql(bad).collect()
+        kinds.append(catalog.error_kind(caught.value))
+    assert kinds == ["IllegalTransactionError", "DuplicateTableError", "NoSuchTableError", "ParseError", "TypeMismatchError", "ParseError", "NoSuchTableError", "ParseError", "AmbiguousNameError"] and set(kinds) <= set(catalog.ERRORS)
+    e.sql("delete from people")
+    assert e.answer("select count(*) as n from people")[0].n == 0
+    e.load_catalog("pets (name string, legs int)", _pets(tmp_path), mode="random")
+    assert e.answer("select sum(legs) as n from pets")[0].n == 6 and e.plan.mode == "random"
+    assert e.answer("select nmin(9007199254740993, 9007199254740995) as a, mod(1, 0) as b, sq(3) as c from (pets, people)") == []
+
+
+def _pets(tmp_path):
+    (tmp_path / "pets.tbl").write_text("cat|4|\nbird|2|\n")
+    return str(tmp_path)
 
 
 def test_catalog_text(spark, tmp_path):
