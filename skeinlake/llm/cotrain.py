@@ -1,48 +1,53 @@
 """Quality classifier by co-training a text view and a metadata view.
 
 Two logistic models see different columns: the text view words, word beginnings and the surface of the
-text, the metadata view source, language and length.  Each round both are fitted, calibrated, and each
-hands the other the unlabelled documents of which it is confident, with its labels; the views' calibrated
-log odds are then combined by a third small model fitted on rows that neither was trained on.  The same is
-done for two labels, quality and toxic; a document is kept if it is likely of quality and not toxic.
-
-Fitting uses bounded samples, drawn by a hash of the id: at most about ``LABELLED`` labelled and ``POOL``
-unlabelled documents, whole texts; their hashed features come to the driver.  Scoring covers every
-document in one Arrow pass with a weight table of at most ``FEATURES`` a view and label.
+text, the metadata view source, language and length.  Both are fitted on labelled documents and calibrated;
+then every other document is scored by both, each view hands the other those of which it is confident, with
+its labels, and both are fitted again.  The views' calibrated log odds are combined by a third small model
+fitted on rows that neither was trained on.  The same is done for two labels, quality and toxic; a document is
+kept if it is likely of quality and not toxic.
+
+What is fitted on is bounded, what is looked at is not.  Labelled documents are drawn by a hash of the id, up
+to ``LABELLED`` in equal shares from each pair of labels, so that a rare label is not thinned out; the odds are put
+right for that afterwards.  In an exchange all documents outside that sample are scored in one pass over the
+table, the confident ones are counted in full, and of each view, label and class up to ``EXCHANGED`` are drawn by
+hash to fit on; the pseudo-labels of a view together weigh no more than the labels.  Slots are chosen by how far
+their share of a class stands out of what chance does among so many slots.  Scoring covers every document in
+one Arrow pass with a weight table of at most ``FEATURES`` a view and label.
 
 Defined results: null or empty text has no word features; null metadata is a value of its own; without
 labels of both kinds a label's probability is its share among the labels (one half without any), and
 nothing is rejected for toxicity without toxic labels; repeated rows are scored row by row; labels of the
-same id count each; an empty table gives an empty result; other columns are ignored.
+same id count each; labels without a document, and null labels, say nothing; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.llm.common import raw, read_table, slices
+from skeinlake.llm.common import keep, raw, read_table, slices
 
-LABELLED, POOL, FEATURES = 10_000, 5_000, 2_048
+LABELLED, EXCHANGED, FEATURES = 10_000, 500, 2_048
 #: Sampled documents that must have a slot for it to be looked at.
 LEAST_SEEN = 3
-#: Deviations by which a slot's share of a class must differ from the class's share to be chosen.
-TELLING = 5.0
-ROUNDS, CONFIDENT, MOST_EXCHANGED = 3, 0.97, 2_000
+ROUNDS, CONFIDENT = 2, 0.97  # fits, with an exchange between one and the next
 TARGETS = ("quality", "toxic")
 METADATA = ("lang", "source", "n_chars")
 SPACE = 1 << 24
 BEGINNING = 5
 HELD = 0.3  # share of the labelled rows for calibration and combination
-MEMO = 300_000
+MEMO_BYTES = 32 << 20  # of words whose slots a worker remembers
 
-SAMPLED = "id long, quality double, toxic double, text array<int>, surface array<double>, meta array<int>"
+SAMPLED = "id long, quality double, toxic double, weight double, given array<double>, text array<int>, surface array<double>, meta array<int>"
 SCORED = "doc_id long, quality double, toxic double, text_quality double, meta_quality double, text_toxic double, meta_toxic double, keep boolean"
 N_SURFACE = 7
 
@@ -133,7 +138,7 @@ class View:
 
 
 def choose(x: Rows, y: np.ndarray, use: np.ndarray, most: int = FEATURES) -> np.ndarray:
-    """Slots whose presence tells the classes apart best: difference of shares over its deviation."""
+    """Slots whose presence tells the classes apart best: deviations of their share of a class from the class's share, beyond what the largest of so many would reach by chance."""
     taken = use[x.row]
     slots, place = np.unique(x.index[taken], return_inverse=True)
     if not len(slots):
@@ -143,25 +148,28 @@ def choose(x: Rows, y: np.ndarray, use: np.ndarray, most: int = FEATURES) -> np.
     rows, positive = max(1, use.sum()), y[use].sum()
     share = positive / rows
     z = np.abs(pos - n * share) / np.sqrt(n * max(share * (1 - share), 1e-9) + 1)
-    z[n < LEAST_SEEN] = 0
+    seen = n >= LEAST_SEEN
+    z[~seen] = 0
+    telling = np.sqrt(2 * np.log(max(2, seen.sum()))) + 0.5
     best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(slots[best[z[best] > TELLING]])
+    return np.sort(slots[best[z[best] > telling]])
 
 
-def logistic(x: Rows, y: np.ndarray, use: np.ndarray, slots: np.ndarray, penalty: float = 1.0, dense_penalty: float = 0.05, steps: int = 150) -> View:
+def logistic(x: Rows, y: np.ndarray, use: np.ndarray, slots: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1.0, dense_penalty: float = 0.05, steps: int = 150) -> View:
     """Penalised logistic regression by full-batch adaptive steps; the few dense features are held back less than the slots."""
     at = np.clip(np.searchsorted(slots, x.index), 0, max(0, len(slots) - 1))
     hit = (slots[at] == x.index) & use[x.row] if len(slots) else np.zeros(len(x.index), bool)
     row, column = x.row[hit], at[hit]
     n, d = max(1, use.sum()), x.dense.shape[1]
+    weight = level(np.ones(len(x)) if weight is None else weight, use)
     w = np.zeros(len(slots) + d + 1)
     held_back = np.r_[np.full(len(slots), penalty), np.full(d, dense_penalty)]
     m, v = np.zeros_like(w), np.zeros_like(w)
-    share = np.clip(y[use].mean() if use.any() else 0.5, 1e-3, 1 - 1e-3)
+    share = np.clip(np.average(y[use], weights=weight[use]) if use.any() else 0.5, 1e-3, 1 - 1e-3)
     w[-1] = np.log(share / (1 - share))
     for t in range(1, steps + 1):
         p = np.bincount(row, weights=w[column], minlength=len(x)) + x.dense @ w[len(slots) : -1] + w[-1]
-        g = np.where(use, sigmoid(p) - y, 0.0)
+        g = np.where(use, weight * (sigmoid(p) - y), 0.0)
         grad = np.r_[np.bincount(column, weights=g[row], minlength=len(slots)), x.dense.T @ g, g.sum()]
         grad[:-1] += held_back * w[:-1]
         grad /= n
@@ -170,7 +178,13 @@ def logistic(x: Rows, y: np.ndarray, use: np.ndarray, slots: np.ndarray, penalty
     return View(slots.astype(np.int64), w[: len(slots)], w[len(slots) : -1], float(w[-1]))
 
 
-def plain_logistic(features: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def level(weight: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Weights with a mean of 1 over the rows in use."""
+    mean = weight[use].mean() if use.any() else 1.0
+    return weight / mean if mean > 0 else np.ones_like(weight)
+
+
+def plain_logistic(features: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
     """Newton's method on a few dense features; the last weight is the intercept."""
     x = np.c_[features, np.ones(len(y))]
     w = np.zeros(x.shape[1])
@@ -194,100 +208,174 @@ class Judge:
     meta: View = field(default_factory=View)
     mixing: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0]))
     constant: float | None = None
-    exchanged: int = 0
-
-
-def calibrate(view: View, x: Rows, y: np.ndarray, use: np.ndarray) -> None:
-    w = plain_logistic(view.margin(x)[use][:, None], y[use])
-    view.scale, view.shift = float(w[0]), float(w[1])
-
-
-def co_train(text: Rows, meta: Rows, label: np.ndarray, ids: np.ndarray, rounds: int = ROUNDS) -> Judge:
-    """``label`` is NaN for the unlabelled pool."""
-    known = ~np.isnan(label)
-    y = np.where(known, label, 0.0)
-    if not known.any() or y[known].min() == y[known].max():
-        return Judge(constant=float(y[known].mean()) if known.any() else 0.5)
-    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    held = known & (spread % 1000 < HELD * 1000)
-    if y[held].min(initial=1) == y[held].max(initial=0) or y[known & ~held].min(initial=1) == y[known & ~held].max(initial=0):
-        held = known  # too few rows to set any aside
-    labels = {"text": (y.copy(), known & (~held | (held.sum() == known.sum()))), "meta": (y.copy(), known & (~held | (held.sum() == known.sum())))}
-    rows, views, exchanged = {"text": text, "meta": meta}, {}, 0
-    for turn in range(rounds):
-        for name, x in rows.items():
-            target, use = labels[name]
-            views[name] = logistic(x, target, use, choose(x, target, use))
-            calibrate(views[name], x, y, held)
-        if turn + 1 == rounds:
-            break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(views[name].log_odds(rows[name]))
-            target, use = labels[other]
-            sure = ~known & ~use & ((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
-            best = np.nonzero(sure)[0]
-            best = best[np.argsort(-np.abs(p[best] - 0.5), kind="stable")[:MOST_EXCHANGED]]
-            target[best], use[best] = (p[best] > 0.5).astype(float), True
-            exchanged += len(best)
-    both = np.c_[views["text"].log_odds(text), views["meta"].log_odds(meta)]
-    mixing = plain_logistic(both[held], y[held])
-    if mixing[1] < 0:  # the metadata view only repeats the base rate
-        alone = plain_logistic(both[held][:, :1], y[held])
-        mixing = np.array([alone[0], 0.0, alone[1]])
-    return Judge(views["text"], views["meta"], mixing, None, exchanged)
-
-
-def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> pa.Table:
-    """Features of the bounded samples; ids are drawn by hash so that reruns agree."""
+    exchanged: dict[str, int] = field(default_factory=dict)  # documents that each view handed over
+
+
+VIEWS = ("text", "meta")
+
+
+@dataclass
+class Trainer:
+    """Co-training of one label over rows: ``label`` is NaN where it is not known; ``given`` holds, a view, the labels it was handed (NaN: none)."""
+
+    rows: dict[str, Rows]
+    label: np.ndarray
+    ids: np.ndarray
+    weight: np.ndarray
+    given: dict[str, np.ndarray]
+
+    def __post_init__(self):
+        known = ~np.isnan(self.label)
+        self.y = np.where(known, self.label, 0.0)
+        spread = (self.ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        held = known & (spread % 1000 < HELD * 1000)
+        apart = held
+        if any(len(np.unique(self.y[some])) < 2 for some in (held, known & ~held)):
+            held, apart = known, np.zeros_like(known)  # too few rows to set any aside
+        self.known, self.held, self.fitted = known, held, known & ~apart
+
+    @property
+    def constant(self) -> float | None:
+        """The probability where there is nothing to learn from."""
+        y = self.y[self.known]
+        if len(y) and y.min() < y.max():
+            return None
+        return float(np.average(y, weights=self.weight[self.known])) if len(y) else 0.5
+
+    def fit(self) -> Judge:
+        if self.constant is not None:
+            return Judge(constant=self.constant)
+        views, y, held = {}, self.y, self.held
+        # the drawn rows have more of a rare class than the table; the odds are put right by the difference
+        real, drawn = np.average(y[held], weights=self.weight[held]), y[held].mean()
+        shift = float(np.log(real / (1 - real)) - np.log(drawn / (1 - drawn))) if 0 < real < 1 else 0.0
+        for name, x in self.rows.items():
+            got = self.given[name]
+            pseudo = ~np.isnan(got) & ~self.known
+            target, use = np.where(pseudo, got, y), self.fitted | pseudo
+            weight = np.where(pseudo, min(1.0, self.fitted.sum() / max(1, pseudo.sum())), 1.0)
+            views[name] = view = logistic(x, target, use, choose(x, target, use), weight)
+            w = plain_logistic(view.margin(x)[held][:, None], y[held])
+            view.scale, view.shift = float(w[0]), float(w[1]) + shift
+        both = np.c_[views["text"].log_odds(self.rows["text"]), views["meta"].log_odds(self.rows["meta"])][held]
+        mixing = plain_logistic(both, y[held])
+        if mixing[1] < 0:  # the metadata view only repeats the base rate
+            alone = plain_logistic(both[:, :1], y[held])
+            mixing = np.array([alone[0], 0.0, alone[1]])
+        mixing[2] += shift
+        return Judge(views["text"], views["meta"], mixing)
+
+
+def unit(tag: str) -> Column:
+    """A fixed number in [0, 1) of the id."""
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(tag)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def draw_labels(labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """(doc_id, labels, weight): up to about ``most`` labels, an equal share of them from each pair of labels."""
     have = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(t).cast("double").alias(t) for t in TARGETS]).filter("doc_id is not null")
-    n_labels, n_docs = have.count(), docs.count()
-    unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("co-training")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # drawn from both tables before anything is joined: the drawn labels are few, as LABELLED bounds them
-    drawn = have.filter(unit < labelled / max(1, n_labels)) if n_labels > labelled else have
-    other = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pool")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *METADATA)
-    near = rows.filter(unit < labelled / max(1, n_labels)) if n_labels > labelled else rows
-    first = near.join(F.broadcast(drawn), "doc_id").select("doc_id", *TARGETS, "text", *METADATA)
-    extra = (rows.filter(other < pool / n_docs) if n_docs > pool else rows).join(have.select("doc_id").distinct(), "doc_id", "left_anti")
-    second = extra.select("doc_id", *[F.lit(None).cast("double").alias(t) for t in TARGETS], "text", *METADATA)
-    both = first.unionByName(second).select("doc_id", *TARGETS, F.col("text").cast("string").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    strata = [(tuple(r[t] for t in TARGETS), r["count"]) for r in have.groupBy(*TARGETS).count().collect()]  # two labels of two values and null
+    if len(strata) > 9:
+        raise ValueError("the labels are 0, 1 or null")
+    left, share, rate = most, {}, F.lit(0.0)
+    for i, (key, n) in enumerate(sorted(strata, key=lambda x: x[1])):
+        share[key] = min(1.0, left / (len(strata) - i) / n)
+        left -= share[key] * n
+        here = reduce(lambda a, b: a & b, [F.col(t).eqNullSafe(F.lit(v).cast("double")) for t, v in zip(TARGETS, key)])
+        rate = F.when(here, F.lit(share[key])).otherwise(rate)
+    return have.withColumn("weight", F.try_divide(F.lit(1.0), rate)).filter(unit("labelled") < rate)
+
+
+def featured(rows: DataFrame) -> pa.Table:
+    """Features of the drawn rows (doc_id, labels, weight, given, text, metadata), on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column=3):
+        for part in slices(batches, column=5):
             text, dense, meta = [], [], []
-            for t, lang, source, n in zip(raw(part.column(3)), *(part.column(i).to_pylist() for i in (4, 5, 6))):
+            for t, lang, source, n in zip(raw(part.column(5)), *(part.column(i).to_pylist() for i in (6, 7, 8))):
                 words, low, begin = word_sets(t)
                 text.append(text_slots(low, begin))
                 dense.append(surface(t, words, len(low)))
                 meta.append(meta_slots(lang, source, n))
-            ids = pa.array([x if x is not None else 0 for x in part.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, part.column(1), part.column(2), pa.array(text, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))], names=[x.split()[0] for x in SAMPLED.split(", ")])
-
-    return both.mapInArrow(run, SAMPLED).toArrow().combine_chunks()
+            lists = [pa.array(x, pa.list_(k)) for x, k in ((text, pa.int32()), (dense, pa.float64()), (meta, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(5)] + lists, names=[x.split()[0] for x in SAMPLED.split(", ")])
 
+    columns = [F.col("text").cast("string").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
+    table = rows.select("doc_id", *TARGETS, "weight", "given", *columns).mapInArrow(run, SAMPLED).toArrow().combine_chunks()
+    return distinct_rows(table.sort_by("id")) if table.num_rows else table
 
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Judge]:
-    table = sample(docs, labels, labelled, pool).sort_by("id")
-    if not table.num_rows:
-        return {t: Judge(constant=0.5) for t in TARGETS}
 
-    def column(name: str) -> pa.Array:
-        c = table.column(name)
-        return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-
-    # copies of a text would make its own words tell its label: each text and label counts once
+def distinct_rows(table: pa.Table) -> pa.Table:
+    """Each text and label once: copies of a text would make its own words tell its label."""
     seen, first = set(), []
-    for i, (slots, surface_, *marks) in enumerate(zip(column("text"), column("surface"), *(column(t).to_pylist() for t in TARGETS))):
-        key = (hash(slots.values.to_numpy().tobytes()), hash(surface_.values.to_numpy().tobytes()), *marks)
+    for i, row in enumerate(zip(_column(table, "text"), _column(table, "surface"), _column(table, "given"), *(table.column(t).to_pylist() for t in TARGETS))):
+        key = (*(hash(x.values.to_numpy(zero_copy_only=False).tobytes()) for x in row[:2]), str(row[2]), *row[3:])
         if key not in seen:
             seen.add(key)
             first.append(i)
-    table = table.take(first)
-    dense = np.array(column("surface").flatten().to_numpy(), np.float64).reshape(-1, N_SURFACE)
-    text = Rows.of(column("text"), dense)
-    meta = Rows.of(column("meta"), np.zeros((table.num_rows, 0)))
-    ids = column("id").to_numpy(zero_copy_only=False)
-    return {t: co_train(text, meta, np.array(column(t).to_numpy(zero_copy_only=False), np.float64), ids) for t in TARGETS}
+    return table.take(first)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    c = table.column(name)
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+
+def _floats(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_numpy(zero_copy_only=False), np.float64)
+
+
+def trainers(table: pa.Table) -> dict[str, Trainer]:
+    dense = _floats(_column(table, "surface").flatten()).reshape(-1, N_SURFACE)
+    rows = {"text": Rows.of(_column(table, "text"), dense), "meta": Rows.of(_column(table, "meta"), np.zeros((table.num_rows, 0)))}
+    ids, weight = _column(table, "id").to_numpy(zero_copy_only=False), _floats(_column(table, "weight"))
+    given = _floats(_column(table, "given").flatten()).reshape(-1, len(TARGETS) * len(VIEWS))
+    return {t: Trainer(rows, _floats(_column(table, t)), ids, weight, {v: given[:, 2 * k + i] for i, v in enumerate(VIEWS)}) for k, t in enumerate(TARGETS)}
+
+
+def exchange(docs: DataFrame, judges: dict[str, Judge], fitted: DataFrame, most: int = EXCHANGED) -> tuple[DataFrame, dict[str, dict[str, int]]]:
+    """Rows with pseudo-labels for the next fit, and how many documents each view handed over, by label.
+
+    Every document that is not among the ``fitted`` ones is scored.  A confident view's label goes to the other
+    view; of those of one view, label and class up to about ``most`` are drawn by a hash of the id.
+    """
+    scored = keep(score(docs, judges).select("doc_id", *[f"{v}_{t}" for t in TARGETS for v in VIEWS]).filter("doc_id is not null").join(F.broadcast(fitted.select("doc_id").distinct()), "doc_id", "left_anti"), "co-scores")
+    open_ = [(t, v) for t in TARGETS for v in VIEWS if judges[t].constant is None]
+    sure = {(t, v, c): (F.col(f"{v}_{t}") >= CONFIDENT) if c else (F.col(f"{v}_{t}") <= 1 - CONFIDENT) for t, v in open_ for c in (0, 1)}
+    counts = scored.agg(F.count("*").alias("n"), *[F.count_if(x).alias("_".join(map(str, k))) for k, x in sure.items()]).first()
+    n = {k: counts["_".join(map(str, k))] for k in sure}
+    drawn = {k: sure[k] & (unit("_".join(map(str, k))) < F.lit(min(1.0, most / max(1, n[k])))) for k in sure}
+    given, any_ = [], F.lit(False)
+    for t in TARGETS:
+        for to in VIEWS:
+            v, label = VIEWS[1 - VIEWS.index(to)], F.lit(None).cast("double")
+            for c in (0, 1) if (t, v) in open_ else ():
+                label, any_ = F.when(drawn[t, v, c], F.lit(float(c))).otherwise(label), any_ | drawn[t, v, c]
+            given.append(F.coalesce(label, F.lit(float("nan"))))
+    picked = scored.filter(any_).select("doc_id", F.array(*given).alias("given")).dropDuplicates(["doc_id"])
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text", *METADATA).join(F.broadcast(picked), "doc_id")
+    rows = rows.select("*", F.lit(1.0).alias("weight"), *[F.lit(None).cast("double").alias(t) for t in TARGETS])
+    return rows, {t: {v: sum(n.get((t, v, c), 0) for c in (0, 1)) for v in VIEWS} for t in TARGETS}
+
+
+def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> dict[str, Judge]:
+    drawn = draw_labels(labels, labelled)
+    none = F.array(*[F.lit(float("nan"))] * (len(TARGETS) * len(VIEWS)))
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text", *METADATA).join(F.broadcast(drawn), "doc_id").withColumn("given", none)
+    table = featured(rows)
+    if not table.num_rows:
+        return {t: Judge(constant=0.5) for t in TARGETS}
+    judges = {t: x.fit() for t, x in trainers(table).items()}
+    for _ in range(rounds - 1):
+        if all(j.constant is not None for j in judges.values()):
+            break
+        more, handed = exchange(docs, judges, drawn, exchanged)
+        new = featured(more)
+        fits = trainers(pa.concat_tables([table, new.cast(table.schema)]).combine_chunks() if new.num_rows else table)
+        judges = {t: x.fit() for t, x in fits.items()}
+        for t in TARGETS:
+            judges[t].exchanged = handed[t]
+    return judges
 
 
 class Scorer:
@@ -299,12 +387,14 @@ class Scorer:
         self.meta = [dict(zip(judges[t].meta.slots.tolist(), judges[t].meta.weights.tolist())) for t in TARGETS]
         self.wanted = set().union(*self.text)
         self.slots_of: dict[bytes, int] = {}
+        self.held = 0
 
     def found(self, names: set[bytes], mark: bytes) -> set[int]:
         """Slots of a text's words that carry a weight; a worker remembers which words do."""
         known, wanted = self.slots_of, self.wanted
-        if len(known) > MEMO:
+        if self.held > MEMO_BYTES:
             known.clear()
+            self.held = 0
         out = set()
         for w in names:
             key = mark + w
@@ -312,6 +402,7 @@ class Scorer:
             if s is None:
                 s = slot(key)
                 s = known[key] = s if s in wanted else -1
+                self.held += len(key) + 100
             if s >= 0:
                 out.add(s)
         return out
