@@ -317,7 +317,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, unit: str = "bytes", width: int = WIDTH, gram: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(doc, list of (first, last)) of the tokens under repeated windows, for rows (doc, compressed text) with distinct ``doc``; lists may overlap."""
-    gram = gram or max(1, width // (12 if unit == "bytes" else 6))
+    gram = gram or max(1, width // 12)
     if not 1 <= gram <= width < 1 << _FIELD:
         raise ValueError(f"the window has 1 to {(1 << _FIELD) - 1} tokens and its minimiser no more")
     salt = salt_of(F.col("doc"), SALTS).alias("salt")
