@@ -328,8 +328,9 @@ def spans(docs: DataFrame, unit: str = "bytes", width: int = WIDTH, gram: int |
     classes = keep(some.groupBy("minimiser", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("one"), salt_mask(F.col("salt")).alias("salts")), "suffix-classes")
     _, first, last = _unpacked(F.col("pos"))
     whole = some.join(classes.filter("n > 1").select("minimiser", "stretch", each_salt(F.col("salts"), SALTS).alias("salt")), ["minimiser", "stretch", "salt"]).select("doc", first.alias("first"), (last + width).alias("last"))
-    per = classes.groupBy("minimiser").agg(F.count("*").alias("stretches")).filter("stretches > 1")
-    wanted = classes.join(per, "minimiser").select("minimiser", F.col("one.doc").alias("doc"), F.col("one.pos").alias("pos"), (F.col("stretches") > crowd).alias("crowded"))
+    shared = classes.withColumn("share", salt_of(F.col("stretch"), SALTS))
+    per = shared.groupBy("minimiser").agg(F.count("*").alias("stretches"), salt_mask(F.col("share")).alias("shares")).filter("stretches > 1").select("minimiser", "stretches", each_salt(F.col("shares"), SALTS).alias("share"))
+    wanted = shared.join(per, ["minimiser", "share"]).select("minimiser", F.col("one.doc").alias("doc"), F.col("one.pos").alias("pos"), (F.col("stretches") > crowd).alias("crowded"))
     drawn = keep(draw(docs, wanted, unit, width), "suffix-drawn")
     single = drawn.filter("tokens is null").select("half_a", "half_b", "doc", "start", salt)
     again = single.groupBy("half_a", "half_b").agg(F.count("*").alias("n"), salt_mask(F.col("salt")).alias("salts")).filter("n > 1")
