@@ -21,8 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinlake.llm.common import keep, read_table, shuffle_partitions
@@ -43,10 +42,10 @@ CHAIN, THRESHOLD = 2, 0.8
 STEP_SIZE = 64
 
 PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, similar_edited boolean, similar_next boolean"
-STEP = PAIRS + ", pid int, kind string, text string"
-NAMES = [x.split()[0] for x in STEP.split(", ")]
-KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
-WIDTH = len(PAIRS.split(", "))
+NAMES = [x.split()[0] for x in PAIRS.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_()]
+#: Ranges of ids for each shuffle partition.
+RANGES = 4
 
 
 def signatures(text: str, anchors: frozenset = ANCHORS, chain: int = CHAIN) -> set[bytes]:
@@ -117,47 +116,47 @@ def _row(doc, text: str, following: str, mine: np.ndarray | None = None, theirs:
     return (doc, len(text), digest, fingerprint(mine), fingerprint(new), likeness(mine, new), likeness(mine, theirs), len(mine), similar(mine, new) is not None, similar(mine, theirs) is not None)
 
 
+def _ranges(cuts: list[int], column: Column, low: int = 0) -> Column:
+    """The number of the range between ``cuts`` that a value lies in, by halving."""
+    if not cuts:
+        return F.lit(low)
+    mid = len(cuts) // 2
+    return F.when(column < F.lit(cuts[mid]), _ranges(cuts[:mid], column, low)).otherwise(_ranges(cuts[mid + 1 :], column, low + mid + 1))
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document against its edited text and the next document in the order of ids.
 
-    One range shuffle of the texts; within a partition each row meets the one behind it.  The last row of a
-    partition and the first of the one after it are set aside, two rows a partition, and joined by
-    partition number; only these numbers come to the driver.
+    Ids are cut into ranges at their quantiles, a few for each task.  The first document of each range is
+    also dealt to the range before it, so one shuffle of the texts brings every document beside the one
+    behind it.  To the driver come the quantiles and one id a range.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
     n = shuffle_partitions(df.sparkSession)
+    cuts = sorted({int(x) for x in docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / (RANGES * n) for i in range(1, RANGES * n)], 0.1 / (RANGES * n))})
+    last = len(cuts) + 1  # of null ids
+    dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(_ranges(cuts, F.col("doc_id"))))
+    least = sorted((r["range"], r["doc_id"]) for r in dealt.filter("doc_id is not null").groupBy("range").agg(F.min("doc_id").alias("doc_id")).collect())
+    heads = dealt.filter(F.col("doc_id").isin([i for _, i in least])) if least else dealt.limit(0)
+    heads = heads.unionByName(dealt.filter("doc_id is null")).groupBy("range").agg(F.min("text").alias("text"))
+    there = [r for r, _ in least] + ([last] if docs.filter("doc_id is null").limit(1).count() else [])
+    before = df.sparkSession.createDataFrame(list(zip(there, there[-1:] + there[:-1])), "range int, before int")
+    behind = heads.join(before, "range").select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("range"))
+    both = dealt.withColumn("behind", F.lit(False)).unionByName(behind.withColumn("behind", F.lit(True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
         held = None
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, end in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 sigs = hashes(signatures(text))
-                if held is None:
-                    rows.append((doc, *[None] * (WIDTH - 1), pid, "head", text))
-                else:
-                    rows.append((*_row(held[0], held[1], text, held[2], sigs), pid, "row", None))
-                held = (doc, text, sigs)
+                if held is not None:
+                    rows.append(_row(held[0], held[1], text, held[2], sigs))
+                held = None if end else (doc, text, sigs)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS)], names=NAMES)
-        if held is not None:
-            last = (held[0], *[None] * (WIDTH - 1), pid, "tail", held[1])
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(last, KINDS)], names=NAMES)
-
-    step = keep(docs.repartitionByRange(n, order[0]).sortWithinPartitions(*order).mapInArrow(run, STEP), "spot-step")
-    pids = sorted(r["pid"] for r in step.filter("kind = 'tail'").select("pid").collect())
-    links = df.sparkSession.createDataFrame([(a, b) for a, b in zip(pids, pids[1:] + pids[:1])], "pid int, next_pid int")
-    tails = step.filter("kind = 'tail'").select("pid", "doc_id", "text").join(links, "pid")
-    heads = step.filter("kind = 'head'").select(F.col("pid").alias("next_pid"), F.col("text").alias("following"))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_row(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(3)))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS[:WIDTH])], names=NAMES[:WIDTH])
 
-    ends = tails.join(heads, "next_pid").select("doc_id", "text", "following").mapInArrow(join, PAIRS)
-    return step.filter("kind = 'row'").select(*NAMES[:WIDTH]).unionByName(ends)
+    order = ["range", "behind", F.col("doc_id").asc_nulls_last(), "text"]
+    return both.select("doc_id", "text", "behind", "range").repartition(n, "range").sortWithinPartitions(*order).mapInArrow(run, PAIRS)
 
 
 def signature_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
