@@ -80,9 +80,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def partition_step(threshold: float) -> float:
+    """Logarithm of a partition's longest over its shortest length; above zero at a threshold of 1 too."""
+    return max(1e-6, -math.log(threshold))
+
+
 def partition(n: int, threshold: float) -> int:
     """Sets at least ``threshold`` alike lie in the same partition by length or in neighbouring ones."""
-    return math.floor(math.log(n) / -math.log(threshold) + 1e-9)
+    return math.floor(math.log(n) / partition_step(threshold) + 1e-9)
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float | None:
@@ -193,7 +198,7 @@ def similar_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     often = each.groupBy("s").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy("often", "s"))
     prefix = each.join(often, "s").withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9))
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(partition_step(threshold)) + F.lit(1e-9))
     mine = prefix.filter("often > 1").select("s", "fingerprint", "n", "r", part.alias("part"))
     theirs = mine.select("s", F.col("fingerprint").alias("other"), F.col("n").alias("m"), F.col("r").alias("q"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     overlap = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m"))
