@@ -9,7 +9,9 @@ significant digit on, and a group of one leaves it at once:
    anchor) stands for a run of windows, about 2 / (width - gram + 2) rows a token.  Minimisers that occur
    once leave the sort: one aggregate and one join on the minimiser.
 2. The second digit is the whole stretch under an anchor's run.  Anchors with an equal stretch repeat in
-   every window; only one of them goes on, for the others to be compared with.
+   every window; only one of them goes on, for the others to be compared with.  Equal anchors of one
+   buffer travel as one row with a list of places, at most a buffer's, so that a frequent passage makes a
+   row a buffer instead of a row an occurrence.
 3. What is left is compared window by window: the next digits are 64-bit hashes of the window's first and
    second half, groups of one leaving after each.  Equal groups are the repeated windows.  Minimisers with
    up to ``crowd`` different stretches are sorted within a task; those with more are dealt out as single
@@ -52,7 +54,7 @@ _FIELD = 12  # bits of a place within a window, in an anchor's packed position
 MULTIPLIER = 0x9E3779B97F4A7C15
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
-ANCHORS = "minimiser long, stretch long, doc long, pos long"
+ANCHORS = "minimiser long, stretch long, doc long, pos long, more array<struct<doc: long, pos: long>>"
 DRAWN = "minimiser long, doc long, pos long, tokens binary, half_a long, half_b long, start long"
 SPANS = "doc long, first long, last long"
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
@@ -159,6 +161,20 @@ def runs(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, width: int,
     return place, first, last, mix(grams[place] + np.uint64(1)), stretch
 
 
+def combined(minimiser: np.ndarray, stretch: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """One row for each minimiser and stretch of a buffer: its first place, and its further ones as a list (null: none)."""
+    order = np.lexsort((stretch, minimiser))
+    minimiser, stretch, doc, pos = minimiser[order], stretch[order], doc[order], pos[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (minimiser[1:] != minimiser[:-1]) | (stretch[1:] != stretch[:-1])
+    begin = np.nonzero(new)[0]
+    further = np.diff(np.r_[begin, len(order)]) - 1
+    values = pa.StructArray.from_arrays([pa.array(doc[~new], pa.int64()), pa.array(pos[~new], pa.int64())], names=["doc", "pos"])
+    more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(further)], pa.int32()), values, mask=pa.array(further == 0))
+    heads = [minimiser.view(np.int64), stretch.view(np.int64), doc, pos]
+    return pa.RecordBatch.from_arrays([*(pa.array(x[begin], pa.int64()) for x in heads), more], names=["minimiser", "stretch", "doc", "pos", "more"])
+
+
 def pieces(lengths: list[int], width: int, most: int = BUFFER) -> Iterator[list[tuple[int, int, int]]]:
     """Buffers of (text, from, to); a text longer than a buffer is cut so that each window lies in one piece."""
     held, room = [], most
@@ -177,7 +193,7 @@ def pieces(lengths: list[int], width: int, most: int = BUFFER) -> Iterator[list[
 
 
 def anchors(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
-    """The anchors of every row of (doc, compressed text); positions are in tokens of the row."""
+    """The anchors of every row of (doc, compressed text), equal ones of a buffer in one row; positions are in tokens of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(unit)
@@ -194,7 +210,7 @@ def anchors(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
                 moved = np.array([a for _, a, _ in buffer])[which] - starts[which]
                 pos = (place + moved) << (2 * _FIELD) | (place - last) << _FIELD | (place - first)
                 doc = docs_[np.array([i for i, _, _ in buffer])[which]]
-                yield pa.RecordBatch.from_arrays([pa.array(minimiser.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(doc), pa.array(pos)], names=["minimiser", "stretch", "doc", "pos"])
+                yield combined(minimiser, stretch, doc, pos)
 
     return docs.mapInArrow(run, ANCHORS)
 
@@ -323,11 +339,14 @@ def spans(docs: DataFrame, unit: str = "bytes", width: int = WIDTH, gram: int |
     salt = salt_of(F.col("doc"), SALTS).alias("salt")
     every = keep(anchors(docs, unit, width, gram).select("*", salt), "suffix-anchors")
     # a minimiser or class knows which salts its rows have, so that it meets them salt by salt and no task holds all rows of a frequent one
-    twice = every.groupBy("minimiser").agg(F.count("*").alias("n"), salt_mask(F.col("salt")).alias("salts")).filter("n > 1").select("minimiser", each_salt(F.col("salts"), SALTS).alias("salt"))
-    some = keep(every.join(twice, ["minimiser", "salt"]).select("minimiser", "stretch", "doc", "pos", "salt"), "suffix-candidates")
-    classes = keep(some.groupBy("minimiser", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("one"), salt_mask(F.col("salt")).alias("salts")), "suffix-classes")
-    _, first, last = _unpacked(F.col("pos"))
-    whole = some.join(classes.filter("n > 1").select("minimiser", "stretch", each_salt(F.col("salts"), SALTS).alias("salt")), ["minimiser", "stretch", "salt"]).select("doc", first.alias("first"), (last + width).alias("last"))
+    places = F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more"))
+    twice = every.groupBy("minimiser").agg(F.sum(places).alias("n"), salt_mask(F.col("salt")).alias("salts")).filter("n > 1").select("minimiser", each_salt(F.col("salts"), SALTS).alias("salt"))
+    some = keep(every.join(twice, ["minimiser", "salt"]).select("minimiser", "stretch", "doc", "pos", "more", "salt"), "suffix-candidates")
+    classes = keep(some.groupBy("minimiser", "stretch").agg(F.sum(places).alias("n"), F.min(F.struct("doc", "pos")).alias("one"), salt_mask(F.col("salt")).alias("salts")), "suffix-classes")
+    _, first, last = _unpacked(F.col("at.pos"))
+    one = F.array(F.struct("doc", "pos"))
+    at = F.explode(F.when(F.col("more").isNull(), one).otherwise(F.concat(one, "more"))).alias("at")
+    whole = some.join(classes.filter("n > 1").select("minimiser", "stretch", each_salt(F.col("salts"), SALTS).alias("salt")), ["minimiser", "stretch", "salt"]).select(at).select("at.doc", first.alias("first"), (last + width).alias("last"))
     shared = classes.withColumn("share", salt_of(F.col("stretch"), SALTS))
     per = shared.groupBy("minimiser").agg(F.count("*").alias("stretches"), salt_mask(F.col("share")).alias("shares")).filter("stretches > 1").select("minimiser", "stretches", each_salt(F.col("shares"), SALTS).alias("share"))
     wanted = shared.join(per, ["minimiser", "share"]).select("minimiser", F.col("one.doc").alias("doc"), F.col("one.pos").alias("pos"), (F.col("stretches") > crowd).alias("crowded"))
