@@ -102,13 +102,17 @@ def raw(column: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that ``column`` of each piece holds about ``most`` bytes."""
+    """Cut Arrow batches so that ``column`` of each piece holds about ``most`` bytes.
+
+    At the end Arrow's free memory goes back to the system: a worker serves many stages, others run beside it.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = max(1, min(batch.num_rows, batch.num_rows * most // max(1, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def table_path(name: str) -> str:

@@ -10,8 +10,8 @@ significant digit on, and a group of one leaves it at once:
    once leave the sort: one aggregate and one join on the minimiser.
 2. The second digit is the whole stretch under an anchor's run.  Anchors with an equal stretch repeat in
    every window; only one of them goes on, for the others to be compared with.  Equal anchors of one
-   buffer travel as one row with a list of places, at most a buffer's, so that a frequent passage makes a
-   row a buffer instead of a row an occurrence.
+   slice of texts travel as one row with a list of places, at most a slice's, so that a frequent passage
+   makes a row a slice instead of a row an occurrence.
 3. What is left is compared window by window: the next digits are 64-bit hashes of the window's first and
    second half, groups of one leaving after each.  Equal groups are the repeated windows.  Minimisers with
    up to ``crowd`` different stretches are sorted within a task; those with more are dealt out as single
@@ -49,6 +49,8 @@ SALTS = 32
 MEMBERS = 4096
 PLACE_BITS = 20
 BUFFER = 1 << PLACE_BITS
+#: Tokens hashed at once; each takes about a hundred bytes of a worker's memory.
+AT_ONCE = 1 << 18
 _FIELD = 12  # bits of a place within a window, in an anchor's packed position
 
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -162,7 +164,7 @@ def runs(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, width: int,
 
 
 def combined(minimiser: np.ndarray, stretch: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """One row for each minimiser and stretch of a buffer: its first place, and its further ones as a list (null: none)."""
+    """One row for each minimiser and stretch of a slice: its first place, and its further ones as a list (null: none)."""
     order = np.lexsort((stretch, minimiser))
     minimiser, stretch, doc, pos = minimiser[order], stretch[order], doc[order], pos[order]
     new = np.ones(len(order), bool)
@@ -193,14 +195,15 @@ def pieces(lengths: list[int], width: int, most: int = BUFFER) -> Iterator[list[
 
 
 def anchors(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
-    """The anchors of every row of (doc, compressed text), equal ones of a buffer in one row; positions are in tokens of the row."""
+    """The anchors of every row of (doc, compressed text), equal ones of a slice in one row; positions are in tokens of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(unit)
         for part in slices(batches, most=1 << 20):
             docs_ = part.column(0).to_numpy()
             texts = [tokens.stored(zlib.decompress(t)) for t in part.column(1).to_pylist()]
-            for buffer in pieces([len(t) for t in texts], width):
+            found = []
+            for buffer in pieces([len(t) for t in texts], width, AT_ONCE):
                 sizes = np.array([b - a for _, a, b in buffer])
                 stops = np.cumsum(sizes)
                 starts = stops - sizes
@@ -210,7 +213,9 @@ def anchors(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
                 moved = np.array([a for _, a, _ in buffer])[which] - starts[which]
                 pos = (place + moved) << (2 * _FIELD) | (place - last) << _FIELD | (place - first)
                 doc = docs_[np.array([i for i, _, _ in buffer])[which]]
-                yield combined(minimiser, stretch, doc, pos)
+                found.append((minimiser, stretch, doc, pos))
+            if found:
+                yield combined(*map(np.concatenate, zip(*found)))
 
     return docs.mapInArrow(run, ANCHORS)
 
