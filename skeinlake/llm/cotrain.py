@@ -31,6 +31,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ SPACE = 1 << 24
 BEGINNING = 5
 HELD = 0.3  # share of the labelled rows for calibration and combination
 MEMO_BYTES = 32 << 20  # of words whose slots a worker remembers
+AT_ONCE = 1 << 18  # features looked at together on the driver
 
 SAMPLED = "id long, quality double, toxic double, weight double, given array<double>, text array<int>, surface array<double>, meta array<int>"
 SCORED = "doc_id long, quality double, toxic double, text_quality double, meta_quality double, text_toxic double, meta_toxic double, keep boolean"
@@ -91,6 +93,12 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def among(slots: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``index`` are among the sorted slots, and the place of each there."""
+    place = np.clip(np.searchsorted(slots, index), 0, len(slots) - 1)
+    return slots[place] == index, place
+
+
 @dataclass
 class Rows:
     """Sparse binary features by row, with dense ones beside them."""
@@ -98,6 +106,11 @@ class Rows:
     index: np.ndarray
     row: np.ndarray
     dense: np.ndarray
+    slots: np.ndarray | None = None  # those of ``index``, sorted
+
+    def __post_init__(self):
+        if self.slots is None:
+            self.slots = np.unique(self.index)
 
     @classmethod
     def of(cls, lists: pa.Array, dense: np.ndarray) -> Rows:
@@ -107,12 +120,26 @@ class Rows:
         slots = slots[seen >= LEAST_SEEN]
         if not len(slots):
             return cls(np.zeros(0, np.int32), np.zeros(0, np.int32), dense)
-        kept_ = slots[np.clip(np.searchsorted(slots, index), 0, len(slots) - 1)] == index
-        return cls(index[kept_], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[kept_], dense)
+        kept_ = np.concatenate([among(slots, index[at : at + AT_ONCE])[0] for at in range(0, len(index), AT_ONCE)])
+        return cls(index[kept_], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[kept_], dense, slots)
 
     def __len__(self):
         return len(self.dense)
 
+    def found(self, slots: np.ndarray, use: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, place in ``slots``) of the features whose slot is there, in rows in use, a stretch at a time: the driver's memory holds no second copy of all."""
+        for at in range(0, len(self.index) if len(slots) else 0, AT_ONCE):
+            row = self.row[at : at + AT_ONCE]
+            hit, place = among(slots, self.index[at : at + AT_ONCE])
+            if use is not None:
+                hit &= use[row]
+            yield row[hit], place[hit]
+
+    def entries(self, slots: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``found`` in one."""
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.int64)), *self.found(slots, use)]
+        return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+
 
 @dataclass
 class View:
@@ -128,9 +155,8 @@ class View:
     def margin(self, x: Rows) -> np.ndarray:
         out = self.bias + (x.dense @ self.dense if x.dense.shape[1] else 0.0)
         if len(self.slots):
-            at = np.clip(np.searchsorted(self.slots, x.index), 0, len(self.slots) - 1)
-            hit = self.slots[at] == x.index
-            out = out + np.bincount(x.row[hit], weights=self.weights[at[hit]], minlength=len(x))
+            row, place = x.entries(self.slots)
+            out = out + np.bincount(row, weights=self.weights[place], minlength=len(x))
         return out + np.zeros(len(x))
 
     def log_odds(self, x: Rows) -> np.ndarray:
@@ -139,12 +165,11 @@ class View:
 
 def choose(x: Rows, y: np.ndarray, use: np.ndarray, most: int = FEATURES) -> np.ndarray:
     """Slots whose presence tells the classes apart best: deviations of their share of a class from the class's share, beyond what the largest of so many would reach by chance."""
-    taken = use[x.row]
-    slots, place = np.unique(x.index[taken], return_inverse=True)
-    if not len(slots):
-        return slots
-    pos = np.bincount(place, weights=y[x.row[taken]], minlength=len(slots))
-    n = np.bincount(place, minlength=len(slots))
+    slots = x.slots
+    pos, n = np.zeros(len(slots)), np.zeros(len(slots), np.int64)
+    for row, place in x.found(slots, use):
+        pos += np.bincount(place, weights=y[row], minlength=len(slots))
+        n += np.bincount(place, minlength=len(slots))
     rows, positive = max(1, use.sum()), y[use].sum()
     share = positive / rows
     z = np.abs(pos - n * share) / np.sqrt(n * max(share * (1 - share), 1e-9) + 1)
@@ -157,9 +182,7 @@ def choose(x: Rows, y: np.ndarray, use: np.ndarray, most: int = FEATURES) -> np.
 
 def logistic(x: Rows, y: np.ndarray, use: np.ndarray, slots: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1.0, dense_penalty: float = 0.05, steps: int = 150) -> View:
     """Penalised logistic regression by full-batch adaptive steps; the few dense features are held back less than the slots."""
-    at = np.clip(np.searchsorted(slots, x.index), 0, max(0, len(slots) - 1))
-    hit = (slots[at] == x.index) & use[x.row] if len(slots) else np.zeros(len(x.index), bool)
-    row, column = x.row[hit], at[hit]
+    row, column = x.entries(slots, use)
     n, d = max(1, use.sum()), x.dense.shape[1]
     weight = level(np.ones(len(x)) if weight is None else weight, use)
     w = np.zeros(len(slots) + d + 1)
@@ -301,15 +324,16 @@ def featured(rows: DataFrame) -> pa.Table:
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(5)] + lists, names=[x.split()[0] for x in SAMPLED.split(", ")])
 
     columns = [F.col("text").cast("string").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
-    table = rows.select("doc_id", *TARGETS, "weight", "given", *columns).mapInArrow(run, SAMPLED).toArrow().combine_chunks()
-    return distinct_rows(table.sort_by("id")) if table.num_rows else table
+    table = rows.select("doc_id", *TARGETS, "weight", "given", *columns).mapInArrow(run, SAMPLED).toArrow()
+    return distinct_rows(table) if table.num_rows else table
 
 
 def distinct_rows(table: pa.Table) -> pa.Table:
-    """Each text and label once: copies of a text would make its own words tell its label."""
-    seen, first = set(), []
-    for i, row in enumerate(zip(_column(table, "text"), _column(table, "surface"), _column(table, "given"), *(table.column(t).to_pylist() for t in TARGETS))):
-        key = (*(hash(x.values.to_numpy(zero_copy_only=False).tobytes()) for x in row[:2]), str(row[2]), *row[3:])
+    """Each text and label once, by id: copies of a text would make its own words tell its label."""
+    seen, first, columns = set(), [], [table.column(c) for c in ("text", "surface", "given", *TARGETS)]
+    for i in pc.sort_indices(table, [("id", "ascending")]).to_pylist():
+        row = [c[i] for c in columns]
+        key = (*(hash(x.values.to_numpy(zero_copy_only=False).tobytes()) for x in row[:2]), str(row[2]), *(x.as_py() for x in row[3:]))
         if key not in seen:
             seen.add(key)
             first.append(i)
@@ -375,6 +399,8 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, exchange
         judges = {t: x.fit() for t, x in fits.items()}
         for t in TARGETS:
             judges[t].exchanged = handed[t]
+    table = new = fits = None  # the driver's memory is free for what comes next
+    pa.default_memory_pool().release_unused()
     return judges
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -110,3 +111,26 @@ def test_fit_matches_plain_gradient_steps():
     view = cotrain.logistic(cotrain.Rows(index, row, np.zeros((300, 0))), y, np.ones(300, bool), np.arange(12), weight, steps=1500)
     want = plain_fit(x, y, weight, 1.0)
     assert np.abs(np.r_[view.weights, view.bias] - want).max() < 0.05
+
+
+def test_fit_holds_few_copies_of_the_features():
+    """Peak memory of a fit on the driver beyond its rows, in bytes a feature."""
+    rng = np.random.default_rng(5)
+    n, each = 4000, 400
+    index = np.concatenate([np.sort(rng.choice(40_000, each, replace=False)) for _ in range(n)]).astype(np.int32)
+    x = cotrain.Rows(index, np.repeat(np.arange(n, dtype=np.int32), each), np.zeros((n, 0)))
+    y, use = (rng.random(n) < 0.5).astype(float), rng.random(n) < 0.7
+    tracemalloc.start()
+    slots = cotrain.choose(x, y, use)
+    view = cotrain.logistic(x, y, use, np.arange(0, 40_000, 40), steps=3)
+    margin = view.margin(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(index)
+    taken = use[x.row]
+    seen, place = np.unique(index[taken], return_inverse=True)
+    pos, m = np.bincount(place, weights=y[x.row[taken]]), np.bincount(place)
+    share = y[use].mean()
+    z = np.abs(pos - m * share) / np.sqrt(m * share * (1 - share) + 1) * (m >= cotrain.LEAST_SEEN)
+    assert slots.tolist() == seen[z > np.sqrt(2 * np.log((m >= cotrain.LEAST_SEEN).sum())) + 0.5].tolist()
+    assert np.allclose(margin, view.bias + np.bincount(x.row, weights=np.where(index % 40 == 0, view.weights[index // 40], 0.0), minlength=n))
