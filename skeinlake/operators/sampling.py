@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlake.operators.stats import TableStats, collect_stats, within_sigma
+from skeinlake.sources.shared import fresh
 
 MODES = ("all", "random", "contiguous", "random_start", "outlier")
 BUCKETS = 10_000
@@ -99,6 +100,12 @@ def _range(counts: list[tuple[str, int]], start: int, stop: int) -> Column:
     return out
 
 
+def _laid_out(df: DataFrame, pieces: list[tuple[int, int]]) -> DataFrame:
+    """Rows of several ranges of the files laid end to end."""
+    counts = file_counts(df)
+    return df.filter(reduce(lambda a, b: a | b, [_range(counts, a, b) for a, b in pieces if a < b], F.lit(False)))
+
+
 def sample(df: DataFrame, plan: SamplePlan, stats: TableStats | None = None, n_rows: int | None = None) -> DataFrame:
     """The rows of rounds 1 … ``plan.round`` of a file table (one read by ``spark.read``)."""
     return between(df, plan, 0, plan.round, stats, n_rows)
@@ -121,9 +128,7 @@ def between(df: DataFrame, plan: SamplePlan, done: int, upto: int, stats: TableS
     reached = [-(-int(total * share * 1_000_000) // 1_000_000) for share in (low, high)]
     start = zlib.crc32(str(plan.seed).encode()) % total if plan.mode == "random_start" else 0
     first, last = start + reached[0], start + reached[1]
-    counts = file_counts(df)
-    pieces = [(first, min(last, total)), (max(0, first - total), last - total)]
-    return df.filter(reduce(lambda a, b: a | b, [_range(counts, a, b) for a, b in pieces if a < b], F.lit(False)))
+    return _laid_out(df, [(first, min(last, total)), (max(0, first - total), last - total)])
 
 
 def sample_by_key(df: DataFrame, key: Column, plan: SamplePlan, buckets: int = 100) -> DataFrame:
@@ -131,9 +136,17 @@ def sample_by_key(df: DataFrame, key: Column, plan: SamplePlan, buckets: int = 1
     return df.filter(F.pmod(key, F.lit(buckets)) < int(round(plan.share * buckets)))
 
 
-def contiguous_by_order(df: DataFrame, order: list[str], start: int, k: int) -> DataFrame:
-    """Rows [start, start + k) in the order of ``order``, by a distributed sort with offset and limit."""
-    return df.orderBy(*order).offset(start).limit(k)
+def contiguous_by_order(df: DataFrame, order: list[str], start: int, k: int, n_rows: int | None = None) -> DataFrame:
+    """Rows [start, start + k) in the order of ``order``, on from the first row past the last of the ``n_rows``, if they are given.
+
+    The sort is written to the shared folder, a file a range of the order, and the rows are read by their places
+    in the files: an offset or a limit would bring ``start + k`` rows, or ``k`` of each task, to one task.
+    """
+    path = fresh(df.sparkSession, "ordered")
+    df.orderBy(*order).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    wrapped = 0 if n_rows is None else max(0, start + k - n_rows)
+    return _laid_out(out, [(start, start + k - wrapped), (0, wrapped)])
 
 
 def fixed_size(df: DataFrame, k: int, seed: int = 42) -> DataFrame:

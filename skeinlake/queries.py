@@ -198,7 +198,7 @@ def sample_random_start_key(spark, sf_dir):
     df = _t(spark, sf_dir, "lineitem")
     n = df.count()
     k, start = n // 100, n - n // 200
-    return contiguous_by_order(df, ALL_COLUMNS, start, k).unionByName(contiguous_by_order(df, ALL_COLUMNS, 0, k - (n - start))).select("l_orderkey", "l_linenumber", "l_quantity")
+    return contiguous_by_order(df, ALL_COLUMNS, start, k, n).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 def _relation(spark, sf_dir, rounds: int = 1) -> SampledRelation:

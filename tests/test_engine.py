@@ -111,6 +111,17 @@ def test_contiguous_reaches_the_scan(spark, files):
     assert "row_index" in df._jdf.queryExecution().toString().split("PushedFilters")[1].split("]")[0]
 
 
+def test_rows_by_order_meet_in_no_single_task(spark, files):
+    df = spark.read.parquet(f"{files}/numbers.parquet").withColumn("v", F.concat(F.lit("v"), "id"))
+    order = sorted(range(20_000), key=lambda i: (i % 7, f"v{i}"))
+    for start, k, n, expected in ((19_900, 300, 20_000, order[19_900:] + order[:200]), (19_900, 300, None, order[19_900:]), (7_000, 9_000, None, order[7_000:16_000]), (0, 0, 20_000, []), (30_000, 5, None, [])):
+        out = sampling.contiguous_by_order(df, ["g", "v"], start, k, n)
+        assert sorted(r.id for r in out.collect()) == sorted(expected)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Limit", "TakeOrdered", "SinglePartition", "Sort"))
+    assert set(out.columns) == {"id", "g", "v"}
+
+
 def test_small_tables_are_read_whole(engine, spark):
     df = spark.read.parquet(f"{engine.path}/t.parquet")
     assert sampling.sample(df, sampling.SamplePlan("contiguous")).count() == 12
