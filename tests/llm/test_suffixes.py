@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
 
 from skeinlake.llm import suffixes
@@ -83,3 +85,19 @@ def test_words(spark, docs_of):
         head, tail = t.split(shared)
         assert out[i].text.split() == (head + tail[1:]).split() or out[i].text.split() == (head + shared.split()[-1] + tail).split()
     assert out[9].text is None and out[10].text == "clean text" and out[9].label is None and out[9].n_tokens == "x"
+
+
+def test_places_of_a_passage_leave_as_one_span(spark):
+    """A passage under many anchors in many documents: a span a document, not a row an anchor."""
+    passage = " ".join(f"p{i}" for i in range(400))
+    docs = spark.createDataFrame([(i, bytearray(zlib.compress(f"a{i} {passage} z{i}".encode()))) for i in range(50)], "doc long, text binary")
+    rows = suffixes.anchors(docs.coalesce(1), "words", 50, 8).filter("more is not null")
+    out = suffixes.places(rows, 50).collect()
+    assert rows.count() > 10 and sorted(r.doc for r in out) == list(range(50)) and all(r.first >= 0 and 300 < r.last - r.first <= 402 for r in out)
+    rng = np.random.default_rng(2)
+    doc, first = rng.integers(0, 4, 300), rng.integers(0, 2000, 300)
+    last = first + rng.integers(1, 40, 300)
+    expected = [(d, *x) for d in range(4) for x in suffixes.merge([{"first": a, "last": b} for k, a, b in zip(doc, first, last) if k == d])]
+    assert list(zip(*(x.tolist() for x in suffixes.joined_spans(doc, first, last)))) == expected
+    none = np.zeros(0, np.int64)
+    assert all(len(x) == 0 for x in suffixes.joined_spans(none, none, none))
