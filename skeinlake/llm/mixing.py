@@ -124,10 +124,12 @@ def row_key(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Colum
 
 def take(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, all columns, each as often as it was taken; of rows with the same key each has its own count."""
-    row, copies, n = (free_name(df, x) for x in ("row", "copies", "n"))
-    counts = mixed.groupBy("row").agg(F.sort_array(F.collect_list("copies")).alias(copies)).withColumnRenamed("row", row)
-    joined = df.withColumn(row, row_key(df, id_col, text_col, source_col)).join(counts.filter(F.exists(copies, lambda x: x > 0)), row)
-    nth = F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0)))
+    h, k, copies, n = (free_name(df, x) for x in ("h", "k", "copies", "n"))
+    # the key's two halves are columns of their own: a struct would be cast in the join, and the texts dealt out again for the window
+    counts = mixed.groupBy(F.col("row.h").alias(h), F.col("row.k").alias(k)).agg(F.sort_array(F.collect_list("copies")).alias(copies))
+    key = row_key(df, id_col, text_col, source_col)
+    joined = df.select("*", key["h"].alias(h), key["k"].alias(k)).join(counts.filter(F.exists(copies, lambda x: x > 0)), [h, k])
+    nth = F.row_number().over(Window.partitionBy(h, k).orderBy(F.lit(0)))
     own = joined.withColumn(n, F.element_at(copies, nth).cast("int")).filter(F.col(n) > 0)
     return own.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*df.columns)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.llm.common import discard, each_salt, free_name, keep, numbered, raw, read_table, salt_mask, salt_of, shuffle_partitions, slices
+from skeinlake.llm.common import discard, each_salt, free_name, keep, numbered, parted, raw, read_table, salt_mask, salt_of, shuffle_partitions, slices
 from skeinlake.llm.components import components
 from skeinlake.llm.suffixes import mix
 
@@ -429,8 +429,9 @@ def dedup(df: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHI
     dealt = classes.select("row", F.explode("shards").alias("shard"), salt_of(F.col("row"), SALTS).alias("salt"))
     first = dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min("row").alias("first"), salt_mask(F.col("salt")).alias("mask")).filter("n > 1")
     members = keep(dealt.join(first.select("shard", "first", each_salt(F.col("mask"), SALTS).alias("salt")), ["shard", "salt"]), "simhash-members")
-    wanted = members.select(F.col("row").alias(number)).distinct()
-    sets = keep(shingle_sets(rows.select(number, text_col).join(wanted, number).select(F.col(number).alias("row"), F.col(text_col).alias("text")), shingle), "simhash-sets")
+    wanted = keep(members.select(F.col("row").alias(number)).distinct(), "simhash-wanted")
+    asked, _ = parted(rows.select(number, text_col), number, wanted, "simhash-marks")
+    sets = keep(shingle_sets(asked.join(wanted, number).select(F.col(number).alias("row"), F.col(text_col).alias("text")), shingle), "simhash-sets")
 
     met = keep(members.filter("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct(), "simhash-first")
     links_ = keep(alike(met, sets, similarity), "simhash-links")
@@ -442,6 +443,8 @@ def dedup(df: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHI
     labels = components(links_.unionByName(more), "simhash-near")
 
     of_class = classes.select("row", "doc_id").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", F.coalesce("label", "row").alias("label"))
-    stays = keep(of_class.groupBy("label").agg(F.min(order).alias("least")).select(F.col("least.row").alias(number)), "simhash-stays")
-    discard(prints, classes, members, sets, met, links_, rest, more, labels)
-    return rows.join(stays, number, "left_semi").select(*df.columns)
+    stays = of_class.groupBy("label").agg(F.min(order).alias("least")).select("least.row")
+    gone = keep(prints.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(number)), "simhash-gone")
+    asked, others = parted(rows, number, gone, "simhash-marks")
+    discard(prints, classes, members, wanted, sets, met, links_, rest, more, labels)
+    return asked.join(gone, number, "left_anti").select(*df.columns).unionByName(others.select(*df.columns))
