@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skeinlake.llm import mixing, simhash, suffixes
-from skeinlake.llm.common import parted
+from skeinlake.llm.common import BATCH_BYTES, keep, parted
 
 
 @pytest.fixture
@@ -71,3 +72,13 @@ def test_the_mix_deals_texts_out_once(unbroadcast, docs_of):
     taken, moved = exchanges(mixing.mixture(docs_of(rows)))
     assert 150 < len(taken) < 200 and {(r.doc_id, r.text) for r in taken} <= set(rows)
     assert sum(x > 0.3 * sum(len(t) for _, t in rows) for x in moved) == 1
+
+
+def test_batches_to_python_are_small(spark):
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("0123456789"), 500).alias("text"))
+    sizes = [r.n for r in keep(texts.mapInArrow(size, "n long"), "test-batches").collect()]
+    assert sum(sizes) >= 30_000_000 and max(sizes) < 1.1 * BATCH_BYTES
